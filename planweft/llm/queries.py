@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweft.llm import ann, packing, sharding, token_orc, topk, toxicity, warc
+from planweft.llm import ann, packing, pieces, sharding, token_orc, topk, toxicity, warc
 from planweft.llm.shared import table
 
 
@@ -25,6 +25,11 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
@@ -52,6 +57,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_warc_round_trip": op2_warc_round_trip,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_balanced_shards": op5_balanced_shards,
     "op7_prefix_forest": op7_prefix_forest,

@@ -25,6 +25,9 @@ from planweft.llm.units import Units
 SPACE = "▁"
 #: No piece holds a space mark behind another character, nor a newline, so merges cross neither.
 UNIT = re.compile(f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+")
+#: A word and the marks behind it; cut too where no piece holds a letter before such a mark.
+TAIL = re.compile(f"({SPACE}*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:]+)")
+CROSSING = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,!?;:]")
 UNIGRAM, BPE = 1, 2
 NORMAL, USER, BYTE, UNKNOWN = 1, 4, 6, 2
 
@@ -67,6 +70,7 @@ class Vocabulary:
         self.by_text = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (NORMAL, USER)}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.by_text):
             raise ValueError("a piece crosses a space or a newline")
+        self.tails = any(map(CROSSING.search, self.by_text))
         self.automaton = ahocorasick.Automaton()
         for text, i in self.by_text.items():
             # a piece that its own merges don't reach is never part of a BPE encoding
@@ -98,42 +102,61 @@ class Vocabulary:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
-        n = len(text)
-        best, back = [float("-inf")] * (n + 1), [(-1, -1)] * (n + 1)  # score; start and id of the last piece, -1: unknown character
-        best[0] = 0.0
-        unigram, scores, apart = self.kind == UNIGRAM, self.scores, self.apart
-        done = 0
-        for end, (i, length) in self.automaton.iter(text):
-            end += 1
-            for j in range(done + 1, end):  # positions where no piece ends: an unknown character
-                if best[j] == float("-inf"):
-                    best[j], back[j] = best[j - 1] + self.lowest, (j - 1, -1)
-            done = end - 1
-            start = end - length
-            before = back[start][1]
-            if unigram:
-                value = best[start] + scores[i]
-                if value > best[end]:
-                    best[end], back[end] = value, (start, i)
-            elif start == 0 or before < 0 or apart(before, i):
-                best[end], back[end] = best[start], (start, i)
-        for j in range(done + 1, n + 1):
-            if best[j] == float("-inf"):
-                best[j], back[j] = best[j - 1] + self.lowest, (j - 1, -1)
-        ids, at = [], n
+        last = self.relax_sums(text) if self.kind == UNIGRAM else self.relax_apart(text)
+        ids, at = [], len(text)
         while at:
-            start, i = back[at]
+            i = last[at]
             if i >= 0:
                 ids.append(i)
-            elif self.bytes_:
-                ids += [self.bytes_[b] for b in reversed(text[start:at].encode())]
-            elif not ids or ids[-1] != self.unknown or start + 1 == n:  # neighbouring unknown characters are one piece
+                at -= len(self.pieces[i])
+                continue
+            if self.bytes_:
+                ids += [self.bytes_[b] for b in reversed(text[at - 1].encode())]
+            elif not ids or ids[-1] != self.unknown:  # neighbouring unknown characters are one piece
                 ids.append(self.unknown)
-            at = start
+            at -= 1
         return ids[::-1]
 
+    def relax_sums(self, text: str) -> list[int]:
+        """For each position the last piece of the way of the largest sum; -1 for an unknown character."""
+        n, scores = len(text), self.scores
+        best, last, done = [float("-inf")] * (n + 1), [-1] * (n + 1), 0
+        best[0] = 0.0
+        for end, (i, length) in self.automaton.iter(text):
+            end += 1
+            for j in range(done + 1, end):  # all pieces that end there are known by now
+                best[j] = max(best[j], best[j - 1] + self.lowest) if last[j] < 0 else best[j]
+            done = end - 1
+            value = best[end - length] + scores[i]
+            if value > best[end]:
+                best[end], last[end] = value, i
+        return last
+
+    def relax_apart(self, text: str) -> list[int]:
+        """For each position the one piece that may stand behind the way to its start; -1 for an unknown character."""
+        last = [-1] * (len(text) + 1)
+        pairs = self.pairs
+        for end, (i, length) in self.automaton.iter(text):
+            end += 1
+            if last[end] < 0:
+                start = end - length
+                before = last[start]
+                if not start or before < 0:
+                    last[end] = i
+                else:
+                    known = pairs.get((before, i))
+                    if self.apart(before, i) if known is None else known:
+                        last[end] = i
+        return last
+
     def units(self) -> Units:
-        return Units(lambda unit: np.asarray(self.segment(unit), "<u4").tobytes())
+        def encode(unit: str) -> bytes:
+            if self.kind == BPE and (found := TAIL.fullmatch(unit)) and not self.tails:
+                return units[found[1]] + units[found[2]]
+            return np.asarray(self.segment(unit), "<u4").tobytes()
+
+        units = Units(encode)
+        return units
 
     def encode(self, text: str, units: Units) -> bytes:
         """Little-endian 32-bit ids of a whole text."""

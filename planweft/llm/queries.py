@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweft.llm import ann, packing, pieces, sharding, token_orc, topk, toxicity, warc
+from planweft.llm import ann, jaccard, packing, pieces, sharding, token_orc, topk, toxicity, warc
 from planweft.llm.shared import table
 
 
@@ -50,6 +50,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_balanced_shards": op5_balanced_shards,
     "op7_prefix_forest": op7_prefix_forest,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_orc": op10_token_orc,
 }
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass
@@ -33,20 +31,17 @@ class Boosted:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.base + sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
 
-    def margin_column(self, features: list[Column]) -> Column:
-        """The same margin as one native expression."""
+    def margin_sql(self, names: list[str]) -> str:
+        """The same margin as one SQL expression over columns or fields ``names``."""
 
-        def node(tree: Tree, i: int) -> Column:
+        def node(tree: Tree, i: int) -> str:
             if i >= len(tree.feature):
-                return F.lit(float(tree.value[i - len(tree.feature)]))
+                return f"{float(tree.value[i - len(tree.feature)])!r}D"
             if np.isinf(tree.threshold[i]):
                 return node(tree, 2 * i + 1)
-            return F.when(features[tree.feature[i]] > F.lit(float(tree.threshold[i])), node(tree, 2 * i + 2)).otherwise(node(tree, 2 * i + 1))
+            return f"CASE WHEN {names[tree.feature[i]]} > {float(tree.threshold[i])!r}D THEN {node(tree, 2 * i + 2)} ELSE {node(tree, 2 * i + 1)} END"
 
-        total = F.lit(self.base)
-        for tree in self.trees:
-            total = total + node(tree, 0)
-        return total
+        return " + ".join([f"{self.base!r}D", *(f"({node(t, 0)})" for t in self.trees)])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

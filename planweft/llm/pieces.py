@@ -11,6 +11,7 @@ piece of the way to its start. Characters in no piece fall back to bytes.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -155,7 +156,7 @@ class Vocabulary:
                 return units[found[1]] + units[found[2]]
             return np.asarray(self.segment(unit), "<u4").tobytes()
 
-        units = Units(encode)
+        units = Units(encode, tails=False)
         return units
 
     def encode(self, text: str, units: Units) -> bytes:
@@ -177,6 +178,13 @@ class Vocabulary:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+@functools.cache
+def of_file(path: str) -> tuple[Vocabulary, Units, list[bytes]]:
+    """A model's vocabulary, units and decoding table, kept as long as the worker process lives."""
+    vocabulary = Vocabulary.load(path)
+    return vocabulary, vocabulary.units(), vocabulary.decoder()
+
+
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids binary`` (little-endian unsigned 32-bit) of every whole text.
 
@@ -185,8 +193,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     """
 
     def run(batches):
-        vocabulary = Vocabulary.load(model)
-        units = vocabulary.units()
+        vocabulary, units, _ = of_file(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -199,8 +206,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids, text`` from what :func:`encode` gives; null ids stand for an empty text."""
 
     def run(batches):
-        vocabulary = Vocabulary.load(model)
-        table = vocabulary.decoder()
+        vocabulary, _, table = of_file(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

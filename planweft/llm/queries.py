@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweft.llm import ann, jaccard, packing, pieces, sharding, token_orc, topk, toxicity, warc
+from planweft.llm import ann, jaccard, packing, pieces, pii, sharding, token_orc, topk, toxicity, warc
 from planweft.llm.shared import table
 
 
@@ -39,6 +39,10 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
+
+
 def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_balanced_shards": op5_balanced_shards,
+    "op6_personal_data": op6_personal_data,
     "op7_prefix_forest": op7_prefix_forest,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,

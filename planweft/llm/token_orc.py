@@ -29,7 +29,7 @@ def encode_documents(sorted_docs: DataFrame, tokenizer: str, end_id: int) -> Dat
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        cache = units.Units(units.library_encoder(tokenizer))
+        cache = units.of_file(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # long texts: bounds what is held at once

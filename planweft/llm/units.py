@@ -10,6 +10,7 @@ between ordinary characters, the text isn't cut and the encoder gets it whole.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -17,17 +18,29 @@ from collections.abc import Callable
 _ODD = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u034f\\u061c\\u115f\\u1160\\u1680\\u180b-\\u180f\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufe00-\\ufe0f\\ufeff\\U000e0000-\\U000e0fff]")
 
 
+#: A word and the marks behind it. Every pre-tokenizer here splits a letter from such a mark.
+_TAIL = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:]+)")
+
+
 class Units(dict):
-    """unit -> little-endian 32-bit ids. Holds at most ``most`` units; a full cache starts anew."""
+    """unit -> little-endian 32-bit ids, of two generations of at most ``most`` units.
+
+    A full generation becomes the old one, and units found there move to the new
+    one. With ``tails``, a word and the marks behind it are units of their own.
+    """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000, tails: bool = True):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.tails, self.old = encode, most, tails, {}
 
     def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self[found[1]] + self[found[2]] if self.tails and (found := _TAIL.fullmatch(unit)) else self.encode(unit)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[unit] = self.encode(unit)
+        self[unit] = ids
         return ids
 
 
@@ -60,4 +73,10 @@ def library_encoder(path: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return lambda text: np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+
+@functools.cache
+def of_file(path: str) -> Units:
+    """The units of a tokenizer file, kept as long as the worker process lives: its tasks share them."""
+    return Units(library_encoder(path))

@@ -82,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
         ), good AS (
             SELECT vec_id FROM parts GROUP BY vec_id HAVING count(*) = count(x) AND bool_and(isfinite(x))
         ), whole AS (
-            SELECT e.vec_id, list_transform(e.embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings e JOIN good USING (vec_id)
+            SELECT e.vec_id, list_transform(e.embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings e JOIN good USING (vec_id)
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
@@ -90,4 +90,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5
     """,
+    "op2_warc_round_trip": """
+        WITH p AS (
+            SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, url, octet_length(payload) AS n, sha1(payload) AS digest FROM p
+        ), k AS (
+            SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS keeper FROM d
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN keeper <> page_id THEN keeper END AS refers_to, url
+        FROM k
+    """,
+    "op9_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS grams FROM w
+        ), g AS (
+            SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT a AS doc_id, b AS other FROM pairs UNION SELECT r.doc_id, p.b FROM reach r JOIN pairs p ON r.other = p.a
+        ), least_id AS (
+            SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+        )
+        SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(other, s.doc_id)) AS component_id FROM s LEFT JOIN least_id USING (doc_id)
+    """,
 }

@@ -44,7 +44,7 @@ def as_bits(value: Column, t: DataType) -> Column:
     """The bits of a whole number as an int or a long."""
     if t.type_id is TypeId.UINT64:
         wide = value.cast("decimal(21,0)")
-        return F.when(wide >= F.lit(2**63).cast("decimal(21,0)"), wide - F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(wide).cast("long")
+        return F.when(wide >= F.lit(str(2**63)).cast("decimal(21,0)"), wide - F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(wide).cast("long")
     return value.cast("long" if t.type_id in (TypeId.INT64, TypeId.UINT32) else "int")
 
 

@@ -118,7 +118,7 @@ def cast(value: Column, to: DataType) -> Column:
     if bits is None:
         return made
     wide = value.cast("decimal(38,0)")
-    outside = (wide < F.lit(0)) | (wide > F.lit(2**bits - 1).cast("decimal(20,0)"))
+    outside = (wide < F.lit(0)) | (wide > F.lit(str(2**bits - 1)).cast("decimal(20,0)"))
     return F.when(outside, F.raise_error(F.lit(f"value out of range for {to.type_id.value}")).cast(to.spark)).otherwise(made)
 
 

@@ -99,7 +99,7 @@ def ascend(keys: np.ndarray, strings: np.ndarray, want: int) -> tuple[np.ndarray
     return level, low, high
 
 
-def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, share: float = 0.75, query_rows: int = 1024) -> DataFrame:
+def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, share: float = 1.0, query_rows: int = 1024) -> DataFrame:
     """The k nearest found for each query row, by exact inner product in double precision."""
     queries = vectors.tiles(df.where(is_query), id_col, vec_col, query_rows)
 
@@ -142,7 +142,7 @@ def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: i
     return vectors.merge_top(found, k, n_slots)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, share: float = 0.75, shard_rows: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, share: float = 1.0, shard_rows: int = 8192) -> DataFrame:
     """Index ``df`` and search it for its own query rows.
 
     Returns ``query_id long, rank int, vec_id long, score double``. Null, zero,

@@ -22,7 +22,7 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,14 +92,14 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op2_warc_round_trip": """
         WITH p AS (
-            SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
         ), d AS (
-            SELECT page_id, url, octet_length(payload) AS n, sha1(payload) AS digest FROM p
+            SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p
         ), k AS (
             SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS keeper FROM d
         )
         SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN keeper <> page_id THEN keeper END AS refers_to, url
+            CASE WHEN keeper <> page_id THEN keeper END AS refers_to
         FROM k
     """,
     "op9_jaccard_join": """

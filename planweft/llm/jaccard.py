@@ -35,7 +35,7 @@ from planweft.llm.shared import cut, parallelism, text_or_empty
 from planweft.llm.shingles import mix, sets_of
 
 FLUSH = 1 << 20
-LIST_BLOCK = 512
+LIST_BLOCK = 256
 SKIP_BLOCK = 32
 
 
@@ -131,16 +131,22 @@ def maybe_linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         again[1:] = key[1:] == key[:-1]
         again[:-1] |= again[1:]
         doc, n = doc[again], n[again]
+        homes = Dealer(buckets, ["doc", "n"])
+        yield from homes.add((mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc, n)
+        yield from homes.flush()
+
+    def enough(batches):
+        doc, n = gathered(batches, ["<i8", "<i4"])
         order = np.lexsort((n, doc))
-        doc, n = doc[order], n[order]
+        doc, n = doc[order], n[order].astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(n[starts].astype(np.int64)), pa.array(np.diff(np.append(starts, len(doc))))], names=["doc_id", "n", "shared"])
+        shared = np.diff(np.append(starts, len(doc)))
+        # a partner has at least ceil(percent * n / 100) shingles, and the lesser slack of the two counts
+        kept = doc[starts[shared >= 1 + slack(needed(n[starts], percent))]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(kept), pa.int64())], names=["doc_id"])
 
     dealt = docs.mapInArrow(deal, "bucket int, key binary, doc binary, n binary").repartitionById(buckets, F.col("bucket"))
-    shared = dealt.mapInArrow(count, "doc_id long, n long, shared long").groupBy("doc_id", "n").agg(F.sum("shared").alias("shared"))
-    # a partner has at least ceil(percent * n / 100) shingles, and the lesser slack of the two counts
-    least = F.expr(f"1 + (({percent} * n + 99) div 100) div 10")
-    return shared.where(F.col("shared") >= least).select("doc_id").distinct()
+    return dealt.mapInArrow(count, "bucket int, doc binary, n binary").repartitionById(buckets, F.col("bucket")).mapInArrow(enough, "doc_id long")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:

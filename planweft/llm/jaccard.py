@@ -441,5 +441,8 @@ def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
 
     Rows of one id stay or go together; rows with a null id and rows without words stay.
     """
-    gone = jaccard_join(df, k, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("of_doc")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("of_doc"), "left_anti")
+    gone = jaccard_join(df, k, percent, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+    # names that no caller's column has
+    known = set(df.columns)
+    name = next(f"stood_for_{i}" for i in range(len(known) + 1) if f"stood_for_{i}" not in known)
+    return df.join(gone.withColumnRenamed("doc_id", name), F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -24,8 +24,8 @@ def odd_documents(spark, make):
     rows = [
         (1, make(1, 60)), (2, make(1, 60)), (3, None), (4, ""), (None, make(2, 40)), (5, make(3, 60_000)), (6, " \n\t "), (7, "one"), (7, "one"), (8, make(4, 300)), (9, "ÄÖ é ß 中文 😀 ​ x"), (10, "\n\n  two  spaces \n"), (11, "."), (12, make(1, 60) + " more"),
     ]
-    schema = "doc_id long, text string, part int, n long, ids binary, score double, signature string, size string"
-    return spark.createDataFrame([(i, t, k, None if k % 2 else k, b"x", None, "s", "z") for k, (i, t) in enumerate(rows)], schema)
+    schema = "doc_id long, text string, part int, n long, ids binary, score double, signature string, size string, of_doc long, stood_for_0 long"
+    return spark.createDataFrame([(i, t, k, None if k % 2 else k, b"x", None, "s", "z", 1, 2) for k, (i, t) in enumerate(rows)], schema)
 
 
 @pytest.fixture(scope="session")

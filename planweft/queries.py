@@ -185,6 +185,8 @@ for _name, _kind, _side, _sql in (
     add(_name, partial(_join, _kind, _side), (ORDERS, CUSTOMER), "orderkey custkey key acctbal", f"SELECT o.c0, o.c1, c.c0, c.c3 FROM {_O} o {_sql} {_RICH} c ON o.c1 = c.c0")
 add("join_semi", partial(_join, "LEFT_SEMI"), (ORDERS, CUSTOMER), "orderkey custkey", f"SELECT c0, c1 FROM {_O} WHERE c1 IN (SELECT c0 FROM {_RICH})")
 add("join_anti", partial(_join, "LEFT_ANTI"), (ORDERS, CUSTOMER), "orderkey custkey", f"SELECT c0, c1 FROM {_O} o WHERE NOT EXISTS (SELECT 1 FROM {_RICH} c WHERE c.c0 = o.c1)")
+# beyond the plan language
+add("more_right_join", partial(_join, "RIGHT"), (ORDERS, CUSTOMER), "orderkey custkey key acctbal", f"SELECT o.c0, o.c1, c.c0, c.c3 FROM {_O} o RIGHT JOIN {_RICH} c ON o.c1 = c.c0")
 
 
 def _join_null(kind: str) -> Rel:

@@ -100,13 +100,13 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        cache = units.of_file(tokenizer)
+        library = units.of_file(tokenizer, spaced=False)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             docs = batch.column(0).to_pylist()
             out = []
             for doc, text in zip(docs, batch.column(1), strict=True):
-                blob = units.spaceless_ids(text.as_py() or "", cache) + end
+                blob = library.ids(text.as_py() or "") + end
                 for piece, start in enumerate(range(0, len(blob), 4 * capacity)):
                     data = blob[start : start + 4 * capacity]
                     length = len(data) // 4

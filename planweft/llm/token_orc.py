@@ -29,12 +29,12 @@ def encode_documents(sorted_docs: DataFrame, tokenizer: str, end_id: int) -> Dat
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        cache = units.of_file(tokenizer)
+        library = units.of_file(tokenizer, spaced=True)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # long texts: bounds what is held at once
                 some = batch.slice(at, 256)
-                blobs = [units.leading_space_ids(x or "", cache) + end for x in some.column(1).to_pylist()]
+                blobs = [library.ids(x or "") + end for x in some.column(1).to_pylist()]
                 sizes = np.array([len(x) // 4 for x in blobs], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))

@@ -1,11 +1,12 @@
 """Whole-text encoding from the ids of repeated units.
 
 All three vocabularies split a text before they merge, and no merge crosses a
-single space between two ordinary characters. So a text is cut there, each
-distinct unit is encoded once by the encoder itself and kept in a bounded cache,
-and the text's ids are the units' ids in order: the same ids as encoding the
-text at once. Where white space is anything but single spaces and newlines
-between ordinary characters, the text isn't cut and the encoder gets it whole.
+single space between two ordinary characters. So a text is cut there; each
+distinct unit is encoded once by the library and kept in a bounded cache, and the
+text's ids are the units' ids in order: the same ids as encoding the text at
+once. A word and the marks behind it are two units of their own. Where white
+space is anything but single spaces and newlines between ordinary characters,
+the text isn't cut and the library gets it whole.
 """
 
 from __future__ import annotations
@@ -16,27 +17,27 @@ from collections.abc import Callable
 
 #: White space and controls that make a cut beside them unsafe, besides the space and the newline themselves.
 _ODD = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u034f\\u061c\\u115f\\u1160\\u1680\\u180b-\\u180f\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufe00-\\ufe0f\\ufeff\\U000e0000-\\U000e0fff]")
-
-
-#: A word and the marks behind it. Every pre-tokenizer here splits a letter from such a mark.
-_TAIL = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:]+)")
+_LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
+#: A word of letters that all vocabularies take for letters, and marks behind it, which they all split from it.
+_WORD = re.compile(f"( ?[{_LETTERS}]+)([.,!?;:]*)")
+#: Begins a unit that has no space before it.
+BARE = "\x02"
 
 
 class Units(dict):
     """unit -> little-endian 32-bit ids, of two generations of at most ``most`` units.
 
-    A full generation becomes the old one, and units found there move to the new
-    one. With ``tails``, a word and the marks behind it are units of their own.
+    A full generation becomes the old one, and units found there move to the new one.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000, tails: bool = True):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000):
         super().__init__()
-        self.encode, self.most, self.tails, self.old = encode, most, tails, {}
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            ids = self[found[1]] + self[found[2]] if self.tails and (found := _TAIL.fullmatch(unit)) else self.encode(unit)
+            ids = self.encode(unit)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -46,37 +47,63 @@ class Units(dict):
 
 def plain(text: str) -> bool:
     """Whether white space is only single spaces and newlines, each between other characters."""
-    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or (_ODD.search(text) is not None))
-
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _ODD.search(text) is not None)
 
-def leading_space_ids(text: str, units: Units) -> bytes:
-    """For a vocabulary whose units begin with their space or newline."""
-    if not text:
-        return b""
-    if not plain(text):
-        return units.encode(text)
-    first, *rest = text.replace("\n", " \n").split(" ")
-    get = units.__getitem__
-    return get(first) + b"".join([get(x) if x[0] == "\n" else get(" " + x) for x in rest])
 
+class Library:
+    """The ids of one tokenizer file, by the tokenizers library.
 
-def spaceless_ids(text: str, units: Units) -> bytes:
-    """For a vocabulary that drops white space: any run of spaces and newlines may be cut."""
-    return b"".join(map(units.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
-
-
-def library_encoder(path: str) -> Callable[[str], bytes]:
-    """One text's ids by the tokenizers library, without special tokens; their strings count as the library's default has it."""
-    import numpy as np
-    from tokenizers import Tokenizer
+    ``spaced``: units begin with the space before them, as byte-level
+    vocabularies have it; else white space is dropped. The library's defaults
+    hold otherwise: no special token is added, and their strings count as it has them.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda text: np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def __init__(self, path: str, spaced: bool):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        #: The byte-level alphabet: visible bytes stand for themselves, the others for characters from 256 on.
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
+        self.units = Units(self.unit)
+
+    def whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        text = unit[1:] if unit[0] == BARE else f" {unit}" if self.spaced and unit[0] != "\n" else unit
+        found = _WORD.fullmatch(text)
+        if found is None:
+            return self.whole(text)
+        if found[2]:
+            return self.units[unit[: -len(found[2])]] + self.units[BARE + found[2]]
+        # one run of letters is one pre-token: only the model's merges are left to do
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        if not text:
+            return b""
+        if not self.spaced:
+            if BARE in text:
+                return self.whole(text)
+            return b"".join(map(self.units.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        if not plain(text):
+            return self.whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.units[BARE + first] + b"".join(map(self.units.__getitem__, rest))
 
 
 @functools.cache
-def of_file(path: str) -> Units:
-    """The units of a tokenizer file, kept as long as the worker process lives: its tasks share them."""
-    return Units(library_encoder(path))
+def of_file(path: str, spaced: bool) -> Library:
+    """A tokenizer file's ids, kept as long as the worker process lives: its tasks share the units."""
+    return Library(path, spaced)

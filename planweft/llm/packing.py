@@ -100,7 +100,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        library = units.of_file(tokenizer, spaced=False)
+        library = units.of_file(tokenizer, spaced=False, most=300_000)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             docs = batch.column(0).to_pylist()

@@ -13,17 +13,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweft.llm import units
 from planweft.llm.shared import new_dir, parallelism, text_or_empty
 
-FILE_SCHEMA = "doc_id long, part int, before long, ids array<int>"
+FILE_SCHEMA = "doc_id long, part int, before long, n int, ids array<int>"
 
 
 def encode_documents(sorted_docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, part, ids before it in the partition, ids) of partitions that are already sorted."""
+    """(doc_id, part, ids before it in the partition, number of ids, ids) of partitions that are already sorted."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -38,7 +38,7 @@ def encode_documents(sorted_docs: DataFrame, tokenizer: str, end_id: int) -> Dat
                 sizes = np.array([len(x) // 4 for x in blobs], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(blobs), part), pa.int32()), pa.array(before + ends - sizes, pa.int64()), ids], names=["doc_id", "part", "before", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(blobs), part), pa.int32()), pa.array(before + ends - sizes, pa.int64()), pa.array(sizes, pa.int32()), ids], names=["doc_id", "part", "before", "n", "ids"])
                 before += int(ends[-1])
 
     return sorted_docs.mapInArrow(run, FILE_SCHEMA)
@@ -59,7 +59,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, part, before, ids`` of the files; filters on doc_id are pushed to stripe statistics and Bloom filters."""
+    """``doc_id, part, before, n, ids`` of the files; filters on doc_id are pushed to stripe statistics and Bloom filters."""
     return spark.read.schema(FILE_SCHEMA).orc(path)
 
 
@@ -75,10 +75,8 @@ def summarise(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
     docs = tokens.select("doc_id", "part", "before", "ids").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
-    # a partition's total is where its last document ends; one column of the files is read for it
-    from pyspark.sql import Window
-
-    totals = tokens.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("tokens"))
+    # the ids themselves aren't read for the totals
+    totals = tokens.groupBy("part").agg(F.sum(F.col("n").cast("long")).alias("tokens"))
     starts = totals.select(F.col("part").alias("of_part"), F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     return docs.join(starts, F.col("part") == F.col("of_part")).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -30,7 +30,7 @@ class Units(dict):
     A full generation becomes the old one, and units found there move to the new one.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
@@ -58,7 +58,7 @@ class Library:
     hold otherwise: no special token is added, and their strings count as it has them.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
@@ -69,7 +69,8 @@ class Library:
         hidden = [b for b in range(256) if b not in visible]
         #: The byte-level alphabet: visible bytes stand for themselves, the others for characters from 256 on.
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self.units = Units(self.unit)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.units = Units(self.unit, most)
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -86,8 +87,8 @@ class Library:
         # one run of letters is one pre-token: only the model's merges are left to do
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
-        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))])
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
@@ -104,6 +105,6 @@ class Library:
 
 
 @functools.cache
-def of_file(path: str, spaced: bool) -> Library:
+def of_file(path: str, spaced: bool, most: int = 700_000) -> Library:
     """A tokenizer file's ids, kept as long as the worker process lives: its tasks share the units."""
-    return Library(path, spaced)
+    return Library(path, spaced, most)

@@ -45,7 +45,7 @@ class Vocabulary:
     bytes_: list[int]
     prefix: bool
     by_text: dict[str, int] = field(default_factory=dict)
-    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)  # left id << 32 | right id -> whether they stay apart
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -93,12 +93,12 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two pieces stay two when their texts are merged together."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= 300_000:
                 self.pairs.clear()
             a, b = self.pieces[left], self.pieces[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            known = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return known
 
     def segment(self, text: str) -> list[int]:
@@ -145,7 +145,7 @@ class Vocabulary:
                 if not start or before < 0:
                     last[end] = i
                 else:
-                    known = pairs.get((before, i))
+                    known = pairs.get(before << 32 | i)
                     if self.apart(before, i) if known is None else known:
                         last[end] = i
         return last
@@ -156,7 +156,7 @@ class Vocabulary:
                 return units[found[1]] + units[found[2]]
             return np.asarray(self.segment(unit), "<u4").tobytes()
 
-        units = Units(encode)
+        units = Units(encode, most=250_000)
         return units
 
     def encode(self, text: str, units: Units) -> bytes:

@@ -306,6 +306,18 @@ for _op, _i, _kind, _sql, _more, _digits in AGGREGATIONS:
     add(f"agg_{_op.lower()}", partial(_aggregated, (6, 8)), (ORDERED,), "flag b v", f"SELECT c6, c8, {_sql} FROM {view(ORDERED)}{_where} GROUP BY 1, 2", _round)
     add(f"agg_{_op.lower()}_keyless", partial(_aggregated, ()), (ORDERED,), "v", f"SELECT {_sql} FROM {view(ORDERED)}{_where}", _round)
 
+#: Factors near 1, with both signs and nulls: their product over all rows stays in the range of doubles.
+FACTORS = (14, "lineitem", (*MIXED[2], ("CASE WHEN l_linenumber <> 3 THEN (CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE 1 END) * (1 + (l_quantity - 25.25) / 1000000) END", "FLOAT64?")))
+
+
+def _agg_product_all(groups: tuple[int, ...]) -> Rel:
+    s = scan(FACTORS)
+    return B.aggregate(s, groups, B.agg("PRODUCT", B.col(s, 9), "FLOAT64?"))
+
+
+add("agg_product_all", partial(_agg_product_all, (6, 8)), (FACTORS,), "flag b v", f"SELECT c6, c8, product(c9) FROM {view(FACTORS)} GROUP BY 1, 2", {"v": 8})
+add("agg_product_all_keyless", partial(_agg_product_all, ()), (FACTORS,), "v", f"SELECT product(c9) FROM {view(FACTORS)}", {"v": 8})
+
 
 def _agg_first_last() -> Rel:
     s = scan(ORDERED)

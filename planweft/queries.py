@@ -151,6 +151,12 @@ for _order in ("ASC", "DESC"):
 
         add(f"sort_{_order}_nulls_{_nulls}".lower(), _sorted, (MIXED,), "k flag orderkey linenumber", f"SELECT c2, c6, c0, c1 FROM {view(MIXED)} ORDER BY c2 {_order} NULLS {_nulls}, c6 DESC NULLS {_nulls}, c0, c1 LIMIT 500")
 
+        def _sorted_all(order=_order, nulls=_nulls) -> Rel:
+            s = B.keep(scan(MIXED), 2, 6, 0, 1)
+            return B.sort(s, (0, order, nulls), (1, "DESC", nulls), (2, "ASC", "FIRST"), (3, "ASC", "FIRST"))
+
+        add(f"sort_all_{_order}_nulls_{_nulls}".lower(), _sorted_all, (MIXED,), "k flag orderkey linenumber", f"SELECT c2, c6, c0, c1 FROM {view(MIXED)} ORDER BY c2 {_order} NULLS {_nulls}, c6 DESC NULLS {_nulls}, c0, c1")
+
 
 def _sort_full() -> Rel:
     s = B.keep(scan(ORDERS), 0, 3)

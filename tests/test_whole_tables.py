@@ -28,3 +28,18 @@ def test_product_of_all_rows(spark, lineitem):
     assert found == {k: pytest.approx(math.prod(v), abs=2e-8) for k, v in groups.items()}
     (whole,) = QUERIES["agg_product_all_keyless"](spark, DATA).collect()
     assert whole.v == pytest.approx(math.prod(x for v in groups.values() for x in v), abs=2e-8)
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+@pytest.mark.parametrize("nulls", ["first", "last"])
+def test_sorts_of_all_rows(spark, lineitem, order, nulls):
+    """Row for row, in the stated order."""
+    rows = [(None if r["l_linenumber"] == 3 else r["l_linenumber"] - 4, None if r["l_returnflag"] == "R" else r["l_returnflag"], r["l_orderkey"], r["l_linenumber"]) for r in lineitem]
+    null = -1 if nulls == "first" else 1
+
+    def key(row):
+        k, flag, *rest = row
+        return (null if k is None else 0, 0 if k is None else k if order == "asc" else -k, null if flag is None else 0, 0 if flag is None else -ord(flag), *rest)
+
+    found = [tuple(r) for r in QUERIES[f"sort_all_{order}_nulls_{nulls}"](spark, DATA).collect()]
+    assert found == sorted(rows, key=key)

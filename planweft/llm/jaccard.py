@@ -1,6 +1,7 @@
 """Operator 9: exact Jaccard join of shingle sets, with set-relation skipping.
 
-The join finds which documents are linked and gives their components.
+The join finds which documents are linked and gives their components;
+``jaccard_links`` counts each document's links as well.
 
 1. A counting filter drops sets that can have no partner: in the order of their
    hashes, linked sets share at least a known number of their first shingles, so
@@ -37,6 +38,9 @@ from planweft.llm.shingles import mix, sets_of
 FLUSH = 1 << 20
 LIST_BLOCK = 256
 SKIP_BLOCK = 32
+#: Sets of a tile, and tokens of a membership matrix, where the links of a component are counted.
+TILE = 256
+TOKENS = 4096
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -401,11 +405,12 @@ def links(pairs: DataFrame, sets: DataFrame, followers: DataFrame, percent: int)
     return rows.mapInArrow(run, "a long, b long")
 
 
-def class_of_signature(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``signature, component_id``: the smallest id reachable from each set that may have a partner."""
+def families(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``signature, rep, first_doc, copies, component`` of each set that may have a partner; the sets; the followers."""
     alive = maybe_linked(docs, k, percent)
     # equal sets are one, whatever their number; a set's own number is a hash of its name
-    same = cut(whole_sets(docs.join(alive, "doc_id", "left_semi"), k).groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.any_value("tokens").alias("tokens")).withColumn("rep", F.xxhash64("signature")))
+    grouped = whole_sets(docs.join(alive, "doc_id", "left_semi"), k).groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    same = cut(grouped.withColumn("rep", F.xxhash64("signature")))
     sets = cut(ordered(same))
     lists = cut(postings(sets, percent))
     followers = cut(follow(lists, sets, percent))
@@ -413,9 +418,141 @@ def class_of_signature(docs: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = cut(candidates(lists, sets, stars, percent))
     found = links(pairs, sets, followers, percent)
     whole = graph.components(stars.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionAll(found))
-    classes = cut(same.join(whole, F.col("rep") == F.col("node"), "left").select("signature", "first_doc", F.coalesce("component", "rep").alias("component")))
+    classes = same.join(whole, F.col("rep") == F.col("node"), "left").select("signature", "rep", "first_doc", "copies", F.coalesce("component", "rep").alias("component"))
+    return cut(classes), sets, followers
+
+
+def named(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``component_id``, the smallest id of each component."""
     least = classes.groupBy(F.col("component").alias("of_component")).agg(F.min("first_doc").alias("component_id"))
-    return cut(classes.join(cut(least), F.col("component") == F.col("of_component")).select("signature", "component_id"))
+    return classes.join(cut(least), F.col("component") == F.col("of_component")).drop("of_component")
+
+
+def class_of_signature(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``signature, component_id``: the smallest id reachable from each set that may have a partner."""
+    return cut(named(families(docs, k, percent)[0]).select("signature", "component_id"))
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Common entries of each of ``a`` and each of ``b``, by products of membership matrices over ranges of tokens."""
+    sizes = [len(x) for x in (*a, *b)]
+    tokens, column, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    several = times[column] > 1
+    column, row = (np.cumsum(times > 1) - 1)[column[several]], row[several]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    made = np.zeros((len(a), len(b)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, TOKENS):
+        lo, hi = np.searchsorted(column, [at, at + TOKENS])
+        has = np.zeros((len(sizes), min(TOKENS, int(column[-1]) + 1 - at)), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        made += has[: len(a)] @ has[len(a) :].T
+    return made.astype(np.int64)
+
+
+def are_linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    inter = overlaps(a, b)
+    either = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inter
+    return (100 * inter >= percent * either).astype(np.int64)
+
+
+def laid(arrays: list[np.ndarray]) -> dict:
+    return {"data": np.concatenate(arrays).tobytes() if arrays else b"", "sizes": [len(x) for x in arrays]}
+
+
+def taken(packed: dict) -> list[np.ndarray]:
+    return np.split(np.frombuffer(packed["data"], "<u8"), np.cumsum(packed["sizes"])[:-1])
+
+
+def members_of(tile: dict) -> list[np.ndarray]:
+    """The whole sets of a tile: its leaders', less what each member lacks, plus what it adds."""
+    leads = taken(tile["leads"])
+    return [np.concatenate([np.setdiff1d(leads[i], less, True), more]) for i, less, more in zip(tile["led"], taken(tile["minus"]), taken(tile["plus"]), strict=True)]
+
+
+def runs_of(batches, keys: int):
+    """Lists of rows that are neighbours and equal in their first ``keys`` columns."""
+    last, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row.values())[:keys]
+            if key != last and held:
+                yield held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield held
+
+
+def links_within(classes: DataFrame, sets: DataFrame, followers: DataFrame, percent: int) -> DataFrame:
+    """rep, n: how many rows of other sets each set is linked with, for sets that have any.
+
+    Links join sets of one component only. A component's sets are dealt to tiles
+    and every pair of tiles is compared; tiles hold the leaders' tokens and the
+    differences from them, and give sums by set, no pairs.
+    """
+    sizes = cut(classes.groupBy(F.col("component").alias("of_component")).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("parts"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many"))
+    differ = followers.select(F.col("rep").alias("of_rep"), "leader", "minus", "plus")
+    tiled = classes.join(sizes, F.col("component") == F.col("of_component")).select("component", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("tile"), "parts", "rep", "copies")
+    members = cut(tiled.join(differ, F.col("rep") == F.col("of_rep"), "left").select("component", "tile", "parts", F.coalesce("leader", "rep").alias("home"), "rep", "copies", "minus", "plus"))
+    leads = members.select("component", "tile", "parts", "home").distinct().join(sets.select(F.col("rep").alias("lead_rep"), F.col("tokens").alias("plus")), F.col("home") == F.col("lead_rep"))
+    no = F.lit(None)
+    rows = members.unionByName(leads.select("component", "tile", "parts", "home", no.cast("long").alias("rep"), no.cast("long").alias("copies"), no.cast("binary").alias("minus"), "plus"))
+    dealt = rows.repartition(parallelism(sets.sparkSession), "component", "tile").sortWithinPartitions("component", "tile")
+    packed = "struct<data:binary,sizes:array<int>>"
+    tile_schema = f"component long, tile int, parts int, reps array<long>, copies array<long>, sums array<long>, led array<int>, leads {packed}, minus {packed}, plus {packed}"
+    pack_ = pa.struct([("data", pa.binary()), ("sizes", pa.list_(pa.int32()))])
+    longs = pa.list_(pa.int64())
+    tile_kinds = pa.schema([("component", pa.int64()), ("tile", pa.int32()), ("parts", pa.int32()), ("reps", longs), ("copies", longs), ("sums", longs), ("led", pa.list_(pa.int32())), ("leads", pack_), ("minus", pack_), ("plus", pack_)])
+
+    def pack(batches):
+        for held in runs_of(batches, 2):
+            token = {r["home"]: np.frombuffer(r["plus"], "<u8") for r in held if r["rep"] is None}
+            own = [r for r in held if r["rep"] is not None]
+            place = {home: i for i, home in enumerate(token)}
+            some = {c: laid([np.frombuffer(r[c] or b"", "<u8") for r in own]) for c in ("minus", "plus")}
+            tile = {c: held[0][c] for c in ("component", "tile", "parts")} | some | {"reps": [r["rep"] for r in own], "copies": [r["copies"] for r in own], "led": [place[r["home"]] for r in own], "leads": laid(list(token.values()))}
+            whole = members_of(tile)
+            near = are_linked(whole, whole, percent)
+            np.fill_diagonal(near, 0)
+            tile["sums"] = (near @ np.array(tile["copies"])).tolist()
+            if tile["parts"] == 1:  # no other tile to be compared with
+                tile |= dict.fromkeys(("copies", "led", "leads", "minus", "plus"))
+            yield pa.RecordBatch.from_pylist([tile], schema=tile_kinds)
+
+    tiles = cut(dealt.mapInArrow(pack, tile_schema))
+    others = tiles.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> tile")
+    met = others.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "reps", "copies", "led", "leads", "minus", "plus")
+    met = met.repartition(parallelism(sets.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def compare(batches):
+        for two in runs_of(batches, 3):
+            if len(two) < 2:  # a tile that no set was dealt to
+                continue
+            near = are_linked(*map(members_of, two), percent)
+            sums = near @ np.array(two[1]["copies"]), near.T @ np.array(two[0]["copies"])
+            yield pa.RecordBatch.from_arrays([pa.array([x["reps"] for x in two], longs), pa.array([x.tolist() for x in sums], longs)], names=["reps", "sums"])
+
+    parts = tiles.select("reps", "sums").unionAll(met.mapInArrow(compare, "reps array<long>, sums array<long>"))
+    one = parts.select(F.explode(F.arrays_zip("reps", "sums")).alias("x")).select(F.col("x.reps").alias("rep"), F.col("x.sums").alias("n"))
+    return one.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def jaccard_links(df: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`jaccard_join` with ``n_links``: with how many other rows each row is linked, copies and links inside a family included.
+
+    Rows without words or with a null id have 0.
+    """
+    docs = texts(df, id_col, text_col)
+    classes, sets, followers = families(docs, k, percent)
+    linked_rows = cut(links_within(classes, sets, followers, percent)).withColumnRenamed("rep", "of_rep")
+    known = named(classes).join(linked_rows, F.col("rep") == F.col("of_rep"), "left")
+    known = cut(known.select(F.col("signature").alias("of_signature"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    every = signed(docs, k).join(known, F.col("signature") == F.col("of_signature"), "left")
+    valid = F.col("doc_id").isNotNull()
+    return every.select("doc_id", "n_shingles", F.when(valid, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(valid, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

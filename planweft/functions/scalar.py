@@ -91,8 +91,8 @@ def binary(op: str, a: Column, b: Column, t: DataType, generic: Generic | None =
         return cast(a % b if op == "MOD" else ((a % b) + b) % b if op == "PYMOD" else F.pmod(a, b), t)
     if op == "POW":
         return cast(F.pow(a.cast("double"), b.cast("double")), t)
-    if op == "LOG_BASE":  # the plan language has the base on the right
-        return cast(F.call_function("log", b.cast("double"), a.cast("double")), t)
+    if op == "LOG_BASE":  # the plan language has the base on the right; base 1 has no logarithms
+        return cast(F.call_function("log", F.nullif(b.cast("double"), F.lit(1.0)), a.cast("double")), t)
     if op == "ATAN2":
         return cast(F.atan2(a.cast("double"), b.cast("double")), t)
     check(op == "GENERIC_BINARY" and generic is not None, f"{op} needs a function that the engine was given")

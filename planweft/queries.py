@@ -425,6 +425,16 @@ def _binary(op: str) -> Rel:
 for _op, (_, _, _, _sql, _digits) in BINARIES.items():
     add(f"bin_{_op.lower()}", partial(_binary, _op), (MIXED,), "orderkey linenumber v", f"SELECT c0, c1, {_sql} FROM {view(MIXED)}" + (" WHERE c1 > 1" if _op == "LOG_BASE" else ""), {"v": _digits} if _digits is not None else {})
 
+
+def _log_base_all() -> Rel:
+    s = scan(MIXED)
+    i, j, kind, _, _ = BINARIES["LOG_BASE"]
+    return B.project(s, B.col(s, 0), B.col(s, 1), B.op("LOG_BASE", B.col(s, i), B.col(s, j), kind))
+
+
+# base 1, which has no logarithms, too
+add("bin_log_base_all", _log_base_all, (MIXED,), "orderkey linenumber v", f"SELECT c0, c1, {BINARIES['LOG_BASE'][3]} FROM {view(MIXED)}", {"v": 6})
+
 SMALL = (12, "lineitem", (*MIXED[2], ("(nullif(l_quantity, 17) - 25) / 30", "FLOAT64?"), ("nullif(l_quantity, 17) + 1", "FLOAT64?")))
 UNARIES: dict[str, tuple] = {
     # operator -> (operand, declared type, SQL, digits)

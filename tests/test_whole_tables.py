@@ -43,3 +43,13 @@ def test_sorts_of_all_rows(spark, lineitem, order, nulls):
 
     found = [tuple(r) for r in QUERIES[f"sort_all_{order}_nulls_{nulls}"](spark, DATA).collect()]
     assert found == sorted(rows, key=key)
+
+
+def test_logarithms_of_all_rows(spark, lineitem):
+    """Base 1 gives null."""
+    found = sorted((tuple(r) for r in QUERIES["bin_log_base_all"](spark, DATA).collect()), key=str)
+    rows = [(r["l_orderkey"], r["l_linenumber"]) for r in lineitem]
+    wanted = sorted(((k, n, None if n == 1 or k == 0 else round(math.log(k) / math.log(n), 6)) for k, n in rows), key=str)
+    assert [r[:2] for r in found] == [r[:2] for r in wanted]
+    assert [r[2] for r in found] == [v if v is None else pytest.approx(v, abs=2e-6) for *_, v in wanted]
+    assert any(n == 1 for _, n in rows)

@@ -41,7 +41,7 @@ def lifted(data: np.ndarray, longest: float) -> np.ndarray:
 
 
 def forest(ids: np.ndarray, data: np.ndarray, trees: int, seed: int, keep: int) -> dict:
-    """The index of one shard. ``first`` has where each distinct vector's ids begin; ``keep`` smallest ids of each stay."""
+    """The index of one shard. ``first`` has where each distinct vector's ids begin; The ``keep`` - 1 rows of smallest id stay of each, whichever id is left out."""
     order = np.argsort(ids, kind="stable")
     ids, data = ids[order], data[order]
     distinct, inverse = np.unique(data, axis=0, return_inverse=True)
@@ -49,7 +49,13 @@ def forest(ids: np.ndarray, data: np.ndarray, trees: int, seed: int, keep: int)
     by = np.argsort(inverse, kind="stable")
     starts = np.searchsorted(inverse[by], np.arange(len(distinct) + 1))
     rank = np.arange(len(by)) - starts[inverse[by]]
-    by = by[rank < keep]
+    # a row stays if it can be among the first keep - 1 once the rows of any one smaller id are left out
+    own, group = ids[by], inverse[by]
+    begins = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])]))
+    lengths = np.diff(np.append(begins, len(by)))
+    base = group[begins] * (len(by) + 1)
+    longest_before = np.maximum(np.concatenate([[0], np.maximum.accumulate(base + lengths)[:-1]]) - base, 0)
+    by = by[rank - np.repeat(longest_before, lengths) < keep - 1]
     first = np.searchsorted(inverse[by], np.arange(len(distinct) + 1))
     longest = float(np.sqrt((distinct**2).sum(axis=1).max(initial=0.0)))
     raised = lifted(distinct, longest)
@@ -121,11 +127,15 @@ def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: i
                 out = []
                 for i, q in enumerate(asked):
                     near = np.unique(np.concatenate([places[t, low[t, i] : high[t, i]] for t in range(trees)])).astype(np.int64)
+                    if not len(near):
+                        continue
+                    others = np.concatenate([[0], np.cumsum(ids != q)])
+                    near = near[others[first[near + 1]] > others[first[near]]]  # vectors that rows of other ids have
                     if not len(near):
                         continue
                     scores = np.einsum("ij,j->i", data[near], qdata[i])
-                    if len(near) > k + 1:  # of the distinct vectors, no more than the k + 1 best can give the k best rows, but for ties
-                        near_floor = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                    if len(near) > k:  # no more than the k best vectors can give the k best rows, but for ties
+                        near_floor = np.partition(scores, len(scores) - k)[len(scores) - k]
                         near, scores = near[scores >= near_floor], scores[scores >= near_floor]
                     counts = first[near + 1] - first[near]
                     at = np.repeat(first[near] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())

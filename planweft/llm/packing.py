@@ -100,20 +100,20 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        library = units.of_file(tokenizer, spaced=False, most=300_000)
-        end = np.asarray([end_id], "<u4").tobytes()
+        library = units.of_file(tokenizer, spaced=False)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            out = []
-            for doc, text in zip(docs, batch.column(1), strict=True):
-                blob = library.ids(text.as_py() or "") + end
-                for piece, start in enumerate(range(0, len(blob), 4 * capacity)):
-                    data = blob[start : start + 4 * capacity]
-                    length = len(data) // 4
-                    out.append((doc, piece, start // 4, length, zlib.crc32(data), part, int(seen[length])))
-                    seen[length] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            docs, done = batch.column(0).to_pylist(), 0
+            for ids, ends in library.documents(batch.column(1), end_id):
+                data, first, out = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0, []
+                for doc, end in zip(docs[done : done + len(ends)], ends.tolist(), strict=True):
+                    for piece, at in enumerate(range(first, end, capacity)):
+                        length = min(capacity, end - at)
+                        out.append((doc, piece, at - first, length, zlib.crc32(data[4 * at : 4 * (at + length)]), part, int(seen[length])))
+                        seen[length] += 1
+                    first = end
+                done += len(ends)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, PIECES)
 

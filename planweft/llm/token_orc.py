@@ -30,16 +30,13 @@ def encode_documents(sorted_docs: DataFrame, tokenizer: str, end_id: int) -> Dat
 
         part, before = TaskContext.get().partitionId(), 0
         library = units.of_file(tokenizer, spaced=True)
-        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # long texts: bounds what is held at once
-                some = batch.slice(at, 256)
-                blobs = [library.ids(x or "") + end for x in some.column(1).to_pylist()]
-                sizes = np.array([len(x) // 4 for x in blobs], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(blobs), part), pa.int32()), pa.array(before + ends - sizes, pa.int64()), pa.array(sizes, pa.int32()), ids], names=["doc_id", "part", "before", "n", "ids"])
-                before += int(ends[-1])
+            done = 0
+            for ids, ends in library.documents(batch.column(1), end_id):
+                bounds = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ends)), pa.array(np.full(len(ends), part), pa.int32()), pa.array(before + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int32()), lists], names=["doc_id", "part", "before", "n", "ids"])
+                done, before = done + len(ends), before + int(ends[-1])
 
     return sorted_docs.mapInArrow(run, FILE_SCHEMA)
 
@@ -48,12 +45,14 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     """Write the ids of every text (null: empty), each followed by ``end_id``, as ORC files under ``path``.
 
     File names ascend with doc_id and rows ascend within a file; null ids come
-    first, rows of one id are in the order of their texts. An empty table gives
+    first, rows of one id are in the order of the input, in as many files as they need. Texts of
+    any length are encoded whole. An empty table gives
     files without rows. Other columns are ignored.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ranged = docs.repartitionByRange(partitions or parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    # the place in the input splits an id that many rows share
+    ranged = docs.repartitionByRange(partitions or parallelism(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     out = encode_documents(ranged, tokenizer, end_id).write.option("compression", "zstd")
     out.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_stride).orc(path)
 

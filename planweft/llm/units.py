@@ -1,27 +1,37 @@
-"""Whole-text encoding from the ids of repeated units.
+"""Whole-text encoding from the ids of repeated units, many texts at a time.
 
 All three vocabularies split a text before they merge, and no merge crosses a
-single space between two ordinary characters. So a text is cut there; each
-distinct unit is encoded once by the library and kept in a bounded cache, and the
-text's ids are the units' ids in order: the same ids as encoding the text at
-once. A word and the marks behind it are two units of their own. Where white
-space is anything but single spaces and newlines between ordinary characters,
-the text isn't cut and the library gets it whole.
+single space between two ordinary characters. So the texts of a block are cut
+there by Arrow, and only the block's distinct units are encoded; each text's ids
+are the units' ids in order: the same ids as encoding the text at once. A word of
+letters and the marks behind it are atoms of their own, kept in a bounded cache;
+any other unit goes to the library. Where white space is anything but single
+spaces and newlines between ordinary characters, a text isn't cut and the library
+gets it whole.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space and controls that make a cut beside them unsafe, besides the space and the newline themselves.
-_ODD = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u034f\\u061c\\u115f\\u1160\\u1680\\u180b-\\u180f\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufe00-\\ufe0f\\ufeff\\U000e0000-\\U000e0fff]")
-_LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
-#: A word of letters that all vocabularies take for letters, and marks behind it, which they all split from it.
-_WORD = re.compile(f"( ?[{_LETTERS}]+)([.,!?;:]*)")
+_ODD = r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{1680}\x{180b}-\x{180f}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{fe00}-\x{fe0f}\x{feff}\x{e0000}-\x{e0fff}]"
+#: Neighbouring white space, or some at a text's end.
+_UNEVEN = r"  | \n|\n |\n\n|\A[ \n]|[ \n]\z"
+#: Letters that all vocabularies take for letters, with the same small ones.
+LETTERS = "".join(map(chr, (*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
 #: Begins a unit that has no space before it.
 BARE = "\x02"
+#: A word, what stands before it, and the marks behind it; all vocabularies split a letter from a mark, but for the apostrophe.
+_WORD = rf"\A(?P<head>[\x02\n]?)(?P<word>[{LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)\z"
+#: Text bytes whose words are told apart at once, and words whose ids are laid out at once; one longer text aside.
+BLOCK = 32 << 20
+LAID = 1 << 20
 
 
 class Units(dict):
@@ -45,66 +55,140 @@ class Units(dict):
         return ids
 
 
-def plain(text: str) -> bool:
-    """Whether white space is only single spaces and newlines, each between other characters."""
-    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _ODD.search(text) is not None)
+def blocks(texts: pa.Array, most_bytes: int = BLOCK) -> Iterator[pa.Array]:
+    """Slices of at most ``most_bytes`` of text, or one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def joined(blobs: list[bytes], kind=np.dtype("<u4")) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers one after another, and how many each blob has."""
+    return np.frombuffer(b"".join(blobs), kind), np.fromiter(map(len, blobs), np.int64, len(blobs)) // np.dtype(kind).itemsize
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which`` of lists that lie in ``flat`` one after another, and their ends."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return flat[:0], ends
+    at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n)
+    at += np.arange(ends[-1])
+    return flat[at], ends
 
 
 class Library:
     """The ids of one tokenizer file, by the tokenizers library.
 
     ``spaced``: units begin with the space before them, as byte-level
-    vocabularies have it; else white space is dropped. The library's defaults
-    hold otherwise: no special token is added, and their strings count as it has them.
+    vocabularies have it; else white space is dropped and letters are small. The library's
+    defaults hold otherwise: no special token is added, and their strings count as it has them.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 700_000):
+    def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.model, normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        if (normalizer.normalize_str(LETTERS) if normalizer else LETTERS) != (LETTERS if spaced else LETTERS.lower()):
+            raise ValueError("the tokenizer changes letters in another way")
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in visible]
-        #: The byte-level alphabet: visible bytes stand for themselves, the others for characters from 256 on.
-        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.units = Units(self.unit, most)
+        # the byte-level alphabet: visible bytes stand for themselves, the others for characters from 256 on
+        self.alphabet = joined([chr(b if b in visible else 256 + hidden.index(b)).encode() for b in range(256)], np.uint8)
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def unit(self, unit: str) -> bytes:
-        text = unit[1:] if unit[0] == BARE else f" {unit}" if self.spaced and unit[0] != "\n" else unit
-        found = _WORD.fullmatch(text)
-        if found is None:
-            return self.whole(text)
-        if found[2]:
-            return self.units[unit[: -len(found[2])]] + self.units[BARE + found[2]]
-        # one run of letters is one pre-token: only the model's merges are left to do
-        if self.normalizer is not None:
-            text = self.normalizer.normalize_str(text)
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))])
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of letters, with the space before them if they have one: each is one pre-token, so only the model's merges are left to do."""
+        words = words.cast(pa.large_string())
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        raw, ends = gathered(*self.alphabet, raw)
+        offsets = np.concatenate([[0], ends])[offsets - offsets[0]]
+        spelled = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw)))
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        for word in spelled.to_pylist():
+            found = tokenize(word)
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def distinct(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, one after another, and how many each has."""
+        parts = pc.extract_regex(units, _WORD)
+        fits = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        head, word, tail = (parts.field(c).filter(pa.array(fits)) for c in ("head", "word", "tail"))
+        if self.spaced:
+            no = pa.scalar("", word.type)
+            word = pc.binary_join_element_wise(pc.if_else(pc.equal(head, no), pa.scalar(" ", word.type), no), word, no)
+        else:
+            word = pc.utf8_lower(word)
+        word, tail = word.dictionary_encode(), tail.dictionary_encode()
+        odd = units.filter(pa.array(~fits)).to_pylist()
+        if self.spaced:
+            odd = [u[1:] if u[:1] == BARE else u if u[:1] == "\n" else f" {u}" for u in odd]
+        marks = tail.dictionary.to_pylist()
+        # atoms of each unit: a newline, a word or an odd unit, marks
+        (flat, sizes), (more, n) = self.words(word.dictionary), joined([self.whole(x) for x in ("\n", *marks, *odd, "")])
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, n])
+        none, newline = len(sizes) - 1, len(word.dictionary)
+        atoms = np.full((len(units), 3), none)
+        atoms[fits, 0] = np.where(pc.equal(head, "\n").to_numpy(zero_copy_only=False), newline, none)
+        atoms[fits, 1] = word.indices.to_numpy(zero_copy_only=False)
+        atoms[fits, 2] = newline + 1 + tail.indices.to_numpy(zero_copy_only=False)
+        atoms[~fits, 1] = newline + 1 + len(marks) + np.arange(len(odd))
+        ids, ends = gathered(flat, sizes, atoms.ravel())
+        return ids, np.diff(ends[2::3], prepend=0)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of whole texts (null: none) one after another, unsigned 32-bit, and each text's end, for some texts after others."""
+        for some in blocks(pc.fill_null(texts, "").cast(pa.large_string())):
+            unsafe = pc.match_substring_regex(some, f"{_ODD}|{_UNEVEN}" if self.spaced else BARE)
+            apart = unsafe.to_numpy(zero_copy_only=False)
+            if apart.any():
+                whole = [self.whole(x) for x in some.filter(unsafe).to_pylist()]
+                some = pc.if_else(unsafe, "", some)
+            if self.spaced:
+                some = pc.binary_join_element_wise(pa.scalar(BARE, pa.large_string()), pc.replace_substring(some, "\n", " \n"), pa.scalar("", pa.large_string()))
+            else:
+                some = pc.replace_substring(some, "\n", " ")
+            lists = pc.split_pattern(some, " ")
+            last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            units = lists.flatten().dictionary_encode()
+            flat, sizes = self.distinct(units.dictionary)
+            which = units.indices.to_numpy(zero_copy_only=False)
+            if apart.any():  # a text that isn't cut is one more unit
+                more, n = joined(whole)
+                which = which.copy()
+                which[last[apart] - 1] = len(sizes) + np.arange(len(n))
+                flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, n])
+            del some, lists, units
+            starts, at = np.concatenate([[0], last]), 0
+            while at < len(last):
+                end = max(at + 1, int(np.searchsorted(last, starts[at] + LAID, "right")))
+                ids, ends = gathered(flat, sizes, which[starts[at] : starts[end]])
+                yield ids, np.concatenate([[0], ends])[last[at:end] - starts[at]]
+                at = end
+
+    def documents(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As :meth:`encode`, with ``end_id`` behind each text's ids."""
+        for ids, ends in self.encode(texts):
+            yield np.insert(ids, ends, end_id), ends + 1 + np.arange(len(ends))
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a whole text."""
-        if not text:
-            return b""
-        if not self.spaced:
-            if BARE in text:
-                return self.whole(text)
-            return b"".join(map(self.units.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
-        if not plain(text):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.units[BARE + first] + b"".join(map(self.units.__getitem__, rest))
+        """Little-endian 32-bit ids of one whole text."""
+        return next(self.encode(pa.array([text])))[0].tobytes()
 
 
 @functools.cache
-def of_file(path: str, spaced: bool, most: int = 700_000) -> Library:
-    """A tokenizer file's ids, kept as long as the worker process lives: its tasks share the units."""
-    return Library(path, spaced, most)
+def of_file(path: str, spaced: bool) -> Library:
+    """A tokenizer file, loaded once in a worker process."""
+    return Library(path, spaced)

@@ -24,7 +24,6 @@ def test_units_give_the_library_ids(tokenizers_dir, make, name, spaced):
 
     reference = Tokenizer.from_file(tokenizers_dir(name))
     library = units.Library(tokenizers_dir(name), spaced)
-    library.units.most = 40  # generations turn over
     for text in [*random_texts(1, 800), make(1, 500), make(2, 500)]:
         assert np.frombuffer(library.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -136,3 +135,25 @@ def test_orc_files_have_indexes_and_filters(spark, odd_documents, tokenizers_dir
     assert file.nrows == 14 and file.nstripes >= 1 and file.row_index_stride == 1000
     ids = [x for x in file.read(columns=["doc_id"])["doc_id"].to_pylist() if x is not None]
     assert ids == sorted(ids)
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_blocks_give_the_library_ids(tokenizers_dir, make, name, spaced, monkeypatch):
+    """25,000 hostile texts in blocks, cut and uncut ones mixed."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    reference, library = Tokenizer.from_file(tokenizers_dir(name)), units.Library(tokenizers_dir(name), spaced)
+    monkeypatch.setattr(units, "LAID", 500)
+    marks = ["$$", "###", "~", "`", "_x", "@b", "É", "ÿ", "µ", "word<", "<|startoftext|>", "]", "\\", "ﬁ", "ª", "Straße", "ÀÖ"]
+    r = random.Random(31)
+    texts = [*random_texts(7, 12_500), *("".join(r.choice(BITS + marks) + r.choice(["", " ", " ", "\n"]) for _ in range(r.randint(0, 12))) for _ in range(12_500)), make(4, 3000), None]
+    r.shuffle(texts)
+    at = 0
+    for ids, ends in library.documents(pa.array(texts), 7):
+        first = 0
+        for end in ends.tolist():
+            assert ids[first:end].tolist() == [*reference.encode(texts[at] or "", add_special_tokens=False).ids, 7], repr(texts[at])
+            first, at = end, at + 1
+    assert at == len(texts)
+    assert list(library.encode(pa.array([], pa.string()))) == []

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from planweft.llm import jaccard, packing, pii, toxicity
 from planweft.llm.shared import new_dir, table
@@ -16,24 +15,35 @@ TOXIC_FROM = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: keep the documents that are scored below ``TOXIC_FROM``."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="toxicity_score").where(F.col("toxicity_score") < TOXIC_FROM).select(*docs.columns)
+    """Operator 8: keep the documents that are scored below ``TOXIC_FROM``.
+
+    Null and empty texts are scored like others, repeated rows alike; null ids stay or go by their text. An
+    empty table gives an empty one. Columns stay as they are, whatever their names.
+    """
+    return toxicity.below(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), TOXIC_FROM)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of the documents linked by five-word shingles at 0.8 or more, the one of the smallest id stays."""
+    """Operator 9: of the documents linked by five-word shingles at 0.8 or more, the one of the smallest id stays.
+
+    Rows without words and rows with a null id stay; rows that share an id stay or go together. Columns stay as they are.
+    """
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: replace every span by its kind."""
-    clean = pii.redact(docs, pii.train(spark))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
+    """Operator 6: replace every span by its kind; ``n_chars``, if there is one, becomes the new length.
+
+    All rows stay: null texts null, empty ones empty, repeated ones each. No other column changes.
+    """
+    return pii.redact(docs, pii.train(spark), length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: pack the documents into sequences of at most 2048 ids."""
+    """Operator 4: pack the documents into sequences of at most 2048 ids.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed each; no rows give no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 

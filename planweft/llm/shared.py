@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as
-    in local tests, a temporary folder of this machine takes its place.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and
+    all runs in one process, as in tests, a temporary folder of this machine takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='planweft-')}"
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -43,5 +45,26 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column is: the one of exactly this name, else the only one that differs in case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    near = [i for i, c in enumerate(df.columns) if c.casefold() == name.casefold()]
+    if len(near) != 1:
+        raise ValueError(f"no column {name!r} among {df.columns}" if not near else f"{name!r} may be any of {[df.columns[i] for i in near]}")
+    return near[0]
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name of a caller can then clash with another or with an operator's own."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def only(df: DataFrame, **wanted: str) -> DataFrame:
+    """The wanted columns (new name = name in ``df``) alone, whatever the names of the others."""
+    rows = positional(df)
+    return rows.select(*(F.col(f"c{place_of(df, name)}").alias(new) for new, name in wanted.items()))
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import vectors
+from planweft.llm.shared import only
 
 BITS = 64
 INDEX_SCHEMA = "tile string, dim int, n int, ids binary, data binary, first binary, keys binary, places binary, longest double"
@@ -162,7 +163,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     columns are ignored; an empty table gives no rows. ``share`` sets how many
     matches the ascent gathers in each shard, in proportion to its distinct vectors.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"))
+    asked = df.where(is_query)
+    rows, asked = (only(x, vec_id=id_col, vector=vec_col).select(F.col("vec_id").cast("long").alias("vec_id"), "vector") for x in (df, asked))
     index = build_index(rows, "vec_id", "vector", trees, seed, shard_rows, k + 1)
-    asked = df.where(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"))
     return search(asked, index, F.lit(True), vectors.slots(rows.count(), shard_rows), k, "vec_id", "vector", trees, seed, share)

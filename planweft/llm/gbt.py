@@ -111,11 +111,11 @@ class Isotonic:
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> Isotonic:
     """Pool adjacent violators. Each pool carries one pseudo-row of the whole sample's rate, so small pools don't reach 0 or 1."""
-    order = np.lexsort((y, margin))
-    pools: list[list[float]] = []  # sum of y, rows, first margin, last margin
-    for m, one in zip(margin[order], y[order], strict=True):
-        pools.append([float(one), 1.0, float(m), float(m)])
-        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+    at, which = np.unique(margin, return_inverse=True)
+    pools: list[list[float]] = []  # sum of y, rows, first margin, last margin; rows of one margin are one from the start
+    for m, ones, rows in zip(at, np.bincount(which, y, len(at)), np.bincount(which, minlength=len(at)), strict=True):
+        pools.append([float(ones), float(rows), float(m), float(m)])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             a = pools.pop()
             pools[-1] = [pools[-1][0] + a[0], pools[-1][1] + a[1], pools[-1][2], a[3]]
     rate = y.mean() if len(y) else 0.0

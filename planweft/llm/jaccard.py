@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import graph
-from planweft.llm.shared import cut, parallelism, text_or_empty
+from planweft.llm.shared import cut, only, parallelism, place_of, positional, text_or_empty
 from planweft.llm.shingles import mix, sets_of
 
 FLUSH = 1 << 20
@@ -54,7 +54,7 @@ def slack(n: np.ndarray | int):
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
 
 
 def in_parts(batch: pa.RecordBatch, rows: int = 500):
@@ -578,8 +578,6 @@ def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
 
     Rows of one id stay or go together; rows with a null id and rows without words stay.
     """
-    gone = jaccard_join(df, k, percent, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
-    # names that no caller's column has
-    known = set(df.columns)
-    name = next(f"stood_for_{i}" for i in range(len(known) + 1) if f"stood_for_{i}" not in known)
-    return df.join(gone.withColumnRenamed("doc_id", name), F.col(id_col).cast("long") == F.col(name), "left_anti")
+    gone = jaccard_join(df, k, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("stood_for")).distinct()
+    rows = positional(df)
+    return rows.join(gone, F.col(f"c{place_of(df, id_col)}").cast("long") == F.col("stood_for"), "left_anti").toDF(*df.columns)

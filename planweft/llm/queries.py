@@ -58,7 +58,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_forest": op7_prefix_forest,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
-    "op9_jaccard_links": op9_jaccard_links,
+    "jaccard_links": jaccard_links,
     "op10_token_orc": op10_token_orc,
 }
 
@@ -126,6 +126,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(other, s.doc_id)) AS component_id FROM s LEFT JOIN least_id USING (doc_id)
     """,
 }
-ORACLE_SQL["op9_jaccard_links"] = ORACLE_SQL["op9_jaccard_join"].replace(
+ORACLE_SQL["jaccard_links"] = ORACLE_SQL["op9_jaccard_join"].replace(
     "AS component_id FROM s", "AS component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM s LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM pairs GROUP BY a) USING (doc_id)"
 )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweft.llm.shared import cut, parallelism, text_or_empty
+from planweft.llm.shared import cut, only, parallelism, text_or_empty
 
 
 def balanced_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
@@ -24,8 +24,8 @@ def balanced_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     less than one row at each end; with fewer rows than shards some shards stay
     empty. An empty table gives no rows; other columns are ignored.
     """
-    text = text_or_empty(text_col)
-    sized = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    text = text_or_empty("text")
+    sized = only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
     order = ["doc_id", "size", "text_crc32"]
     # written once: the ranges come from a sample, and both readings below must see the same ones
     ranged = cut(sized.repartitionByRange(4 * parallelism(df.sparkSession), *order).withColumn("part", F.spark_partition_id()))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweft.llm import units
-from planweft.llm.shared import new_dir, parallelism, text_or_empty
+from planweft.llm.shared import new_dir, only, parallelism, text_or_empty
 
 FILE_SCHEMA = "doc_id long, part int, before long, n int, ids array<int>"
 
@@ -50,7 +50,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     files without rows. Other columns are ignored.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    docs = only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), F.monotonically_increasing_id().alias("place"))
     # the place in the input splits an id that many rows share
     ranged = docs.repartitionByRange(partitions or parallelism(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     out = encode_documents(ranged, tokenizer, end_id).write.option("compression", "zstd")

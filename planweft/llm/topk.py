@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import vectors
+from planweft.llm.shared import only
 
 EXACT = float(2**53)
 
@@ -53,11 +54,12 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     candidates. Repeated rows each count. Other columns are ignored. An empty
     table gives no rows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"))
+    asked = df.where(is_query)
+    rows, asked = (only(x, vec_id=id_col, vector=vec_col).select(F.col("vec_id").cast("long").alias("vec_id"), "vector") for x in (df, asked))
     total = rows.count()
     n_slots = vectors.slots(total, tile_rows)
     shards = vectors.tiles(rows, "vec_id", "vector", tile_rows)
-    queries = vectors.tiles(df.where(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector")), "vec_id", "vector", query_rows)
+    queries = vectors.tiles(asked, "vec_id", "vector", query_rows)
 
     def multiply(batches):
         for batch in batches:

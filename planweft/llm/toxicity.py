@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import gbt
-from planweft.llm.shared import cut, text_or_empty
+from planweft.llm.shared import cut, only, place_of, positional, text_or_empty
 
 FOLDS = 3
 PREFIXES = (3, 4, 5, 6)
@@ -102,15 +102,21 @@ class Model:
 
 def sample_of(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     """(text, toxic, fold) of at most ``sample_rows`` labelled rows, of those whose crc32(doc_id) mod 5 isn't 0, lowest hashes first."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    usable = only(labels, doc_id="doc_id", toxic="toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("of"), "of").limit(sample_rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    # the sample's size is a parameter
-    return cut(text.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic", F.pmod(F.xxhash64("of", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")))
+    text = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    # the sample's size is a parameter; of an id that many rows share, the smallest text counts
+    joined = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "toxic").agg(F.min("text").alias("text"))
+    return cut(joined.select("text", "toxic", F.pmod(F.xxhash64("of", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")))
 
 
 def lexicons(sample: DataFrame, most: int = 4000, least_toxic: int = 3, least_odds: float = 1.5) -> list[dict[str, float]]:
-    """One lexicon without each fold, then that of all folds: log odds of toxic against clean documents with the word or beginning."""
+    """One lexicon without each fold, then that of all folds: log odds of toxic against clean documents with the word or beginning.
+
+    It learns from the sample alone. Entries are in ``least_toxic`` toxic rows at
+    least (one less where a fold is left out); of them the ``5 * most`` in most toxic rows come to
+    the driver, and each lexicon keeps the ``most`` of them in most toxic rows whose log odds reach ``least_odds``.
+    """
 
     def count(batches):
         tallies = [[Counter(), Counter()] for _ in range(FOLDS)]
@@ -143,10 +149,13 @@ def lexicons(sample: DataFrame, most: int = 4000, least_toxic: int = 3, least_od
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
-    """Fit lexicon, trees and calibration on at most ``sample_rows`` labelled rows (the documented bound of the sample)."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon_entries: int = 4000) -> Model:
+    """Fit lexicon, trees and calibration on at most ``sample_rows`` labelled rows, one per doc_id (the documented bound of the sample).
+
+    ``lexicon_entries`` bounds the lexicon; see :func:`lexicons`. Both bound what comes to the driver.
+    """
     sample = sample_of(docs, labels, sample_rows)
-    books = lexicons(sample)
+    books = lexicons(sample, lexicon_entries)
 
     def features(batches):
         weights = [Weights(x) for x in books[:FOLDS]]
@@ -163,21 +172,35 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Mode
     return Model(books[FOLDS], gbt.fit(x, y), gbt.isotonic(apart, y))
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``df`` with the probability that each whole text is toxic as another column ``name``.
+def scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """``rows`` (see :func:`positional`) with ``score``."""
+    from pyspark.sql import types as T
 
-    Null and empty texts have a score too. Rows are neither dropped nor merged;
-    clashing extra columns don't matter except ``name`` itself, which is replaced.
-    """
-    kept = [c for c in df.columns if c != name]
+    kept = rows.columns
 
     def run(batches):
         weights = Weights(model.lexicon)
         for batch in batches:
-            x = np.array([featurise(t or "", weights) for t in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*kept, name])
+            x = np.array([featurise(t or "", weights) for t in batch.column(len(kept)).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*kept, "score"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    return rows.select(*kept, text_or_empty(text).alias("to_score")).mapInArrow(run, schema)
+
+
+def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``df`` with the probability that each whole text is toxic as another column ``name``.
+
+    Null and empty texts have a score too, and texts of any length are read whole. Rows are neither
+    dropped nor merged, repeated ones score alike, an empty table gives no rows. Columns keep their names and
+    values, except that those called ``name``, in any case, give way to the score.
+    """
+    kept = [i for i, c in enumerate(df.columns) if c.casefold() != name.casefold()]
+    made = scored(positional(df), model, f"c{place_of(df, text_col)}")
+    return made.select(*(f"c{i}" for i in kept), "score").toDF(*(df.columns[i] for i in kept), name)
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*(f for f in df.select(*kept).schema.fields), T.StructField(name, T.DoubleType())])
-    return df.select(*kept, text_or_empty(text_col).alias("__text_to_score")).mapInArrow(run, schema)
+def below(df: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below ``limit``, with their columns as they are; odd rows count as in :func:`score`."""
+    rows = positional(df)
+    return scored(rows, model, f"c{place_of(df, text_col)}").where(F.col("score") < limit).select(*rows.columns).toDF(*df.columns)

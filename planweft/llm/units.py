@@ -30,7 +30,7 @@ BARE = "\x02"
 #: A word, what stands before it, and the marks behind it; all vocabularies split a letter from a mark, but for the apostrophe.
 _WORD = rf"\A(?P<head>[\x02\n]?)(?P<word>[{LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)\z"
 #: Text bytes whose words are told apart at once, and words whose ids are laid out at once; one longer text aside.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 LAID = 1 << 20
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweft.llm.shared import cut, new_dir, parallelism, text_or_empty
+from planweft.llm.shared import cut, new_dir, only, parallelism, text_or_empty
 
 #: Fixed values of the public formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -141,7 +141,7 @@ def seek_table(source, size: int) -> list[tuple[int, int, int]]:
 def with_roles(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, url, html, digest, size, refers_to: by digest, in one join that skewed digests may be split in."""
     html = text_or_empty("html")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
+    rows = only(pages, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     shared = rows.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("of_digest")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
     revisits = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     joined = rows.join(shared, (F.col("digest") == F.col("of_digest")) & (F.col("size") >= least_bytes), "left")

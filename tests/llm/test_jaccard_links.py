@@ -48,5 +48,5 @@ def test_links_inside_families(spark, monkeypatch, tile):
 def test_links_of_the_query(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    found = [tuple(r) for r in llm.QUERIES["op9_jaccard_links"](spark, SMALL).collect()]
-    assert sorted(found) == sorted(con.sql(llm.ORACLE_SQL["op9_jaccard_links"]).fetchall())
+    found = [tuple(r) for r in llm.QUERIES["jaccard_links"](spark, SMALL).collect()]
+    assert sorted(found) == sorted(con.sql(llm.ORACLE_SQL["jaccard_links"]).fetchall())

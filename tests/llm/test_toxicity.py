@@ -73,3 +73,59 @@ def test_disguise_and_nearness():
     weights = toxicity.Weights({"idiot": 3.0})
     f = dict(zip(toxicity.FEATURES, toxicity.featurise("You id10t, an IDIOT!", weights), strict=True))
     assert f["disguised_hits"] == 1 and f["word_hits"] > 0 and f["near_you"] > 0 and f["exclamations"] > 0
+
+
+def plain_features(text, lexicon):
+    """The features by their definition, word by word."""
+    import math
+    import re
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    n = max(1, len(words))
+    own = [lexicon.get(w, 0.0) for w in words]
+    start = [max((lexicon.get(w[:k] + "~", 0.0) for k in (3, 4, 5, 6) if len(w) >= k), default=0.0) for w in words]
+    hits = [i for i in range(len(words)) if own[i] or start[i]]
+    you = [i for i, w in enumerate(words) if w in toxicity.YOU]
+    best = [max(own[i], start[i]) for i in hits]
+    disguised = re.findall(r"[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+", text.lower())
+    plain = [d.translate(toxicity.DISGUISES) for d in disguised]
+    found = sum(bool(lexicon.get(w) or any(lexicon.get(w[:k] + "~") for k in (3, 4, 5, 6) if len(w) >= k)) for w in plain)
+    chars = max(1, len(text))
+    return [
+        sum(x > 0 for x in own) / n, math.log1p(sum(x > 0 for x in own)), sum(x > 0 for x in start) / n, math.log1p(sum(x > 0 for x in start)), len({words[i] for i in hits}), sum(best) / n, max(best, default=0.0),
+        sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hits) / n, len(you) / n, len(re.findall("[A-ZÀ-ÖØ-Þ]", text)) / chars, len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b", text)) / n,
+        text.count("!") / n, text.count("?") / n, len(re.findall(r"[^\w\s]", text)) / chars, len(disguised) / n, found, math.log1p(len(words)),
+    ]
+
+
+def test_features_by_brute_force():
+    import random
+
+    r = random.Random(8)
+    lexicon = {"idiot": 3.0, "stu~": 1.5, "stupi~": 2.5, "tonto": 2.0, "dumm~": 1.0}
+    bits = ["you", "IDIOT", "id10t", "stupid", "Stuhl", "dummkopf", "the", "tú", "tonto!", "?", "st*pid", "été", "x1", "_a_", "DU", "...", "\n"]
+    for _ in range(500):
+        text = " ".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        assert np.allclose(toxicity.featurise(text, toxicity.Weights(lexicon)), plain_features(text, lexicon)), text
+
+
+def test_isotonic_by_brute_force():
+    """Pool values are the greatest least mean over all ranges that hold a margin, with one pseudo-row each."""
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        m, y = r.integers(0, 9, 30).astype(float), r.integers(0, 2, 30).astype(float)
+        iso, at = gbt.isotonic(m, y), np.unique(m)
+        mean = [max(min(y[(m >= a) & (m <= b)].mean() for b in at[at >= x]) for a in at[at <= x]) for x in at]
+        for x, value in zip(at, mean, strict=True):
+            pool = np.isin(m, [z for z, v in zip(at, mean, strict=True) if abs(v - value) < 1e-12])
+            wanted = (y[pool].sum() + y.mean()) / (pool.sum() + 1)
+            got = iso.apply(np.array([x]))[0]
+            assert got >= wanted - 1e-9  # kept from falling below the pool before
+            if all(abs(v - value) < 1e-12 for v in mean[: np.searchsorted(at, x)]):
+                assert got == pytest.approx(wanted)
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    assert toxicity.sample_of(docs, labels, 10).count() <= 2

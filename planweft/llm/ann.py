@@ -1,11 +1,11 @@
 """Operator 7: approximate nearest neighbours by a hash-prefix forest.
 
-Each shard holds, per tree, a sorted array of long hash strings (64 sign bits of
+Each shard holds, per tree, a sorted array of long hash strings (32 sign bits of
 random projections). A query descends in every tree to its longest prefix match
 by binary search, then all trees ascend together, one bit at a time, until the
-matches of the common prefix length, over all trees, reach a share of the shard's
-distinct vectors (``share``). These are
-scored exactly. Equal vectors are one entry of the forest that lists its
+matches of the common prefix length, over all trees, reach ``want`` times the shard's
+distinct vectors. Vectors are ranked by the number of trees in which they match, and only
+the best ``share`` of the shard is scored exactly. Equal vectors are one entry of the forest that lists its
 smallest ids, so a vector repeated a million times costs one candidate.
 """
 
@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import vectors
-from planweft.llm.shared import only
+from planweft.llm.shared import only, tidy
 
-BITS = 64
-INDEX_SCHEMA = "tile string, dim int, n int, ids binary, data binary, first binary, keys binary, places binary, longest double"
+BITS = 32
+TREES = 96
+#: Matches over all trees that end the ascent, and the part of a shard that is scored, both times its distinct vectors.
+WANT, SHARE = 4.0, 0.2
+INDEX_SCHEMA = "slot int, dim int, n int, ids binary, data binary, first binary, keys binary, places binary, longest double"
 
 
 def planes(dim: int, tree: int, seed: int) -> np.ndarray:
@@ -30,9 +33,9 @@ def planes(dim: int, tree: int, seed: int) -> np.ndarray:
 
 
 def hashed(data: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """64-bit strings; the first bit of the string is the highest bit."""
+    """32-bit strings; the first bit of the string is the highest bit."""
     signs = (data @ planes(data.shape[1] - 1, tree, seed)) > 0
-    return np.packbits(signs, axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.packbits(signs, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
 def lifted(data: np.ndarray, longest: float) -> np.ndarray:
@@ -68,19 +71,32 @@ def forest(ids: np.ndarray, data: np.ndarray, trees: int, seed: int, keep: int)
     }
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, shard_rows: int = 8192, keep: int = 21) -> DataFrame:
-    """One row per shard, built where the rows are: every valid row is indexed."""
+def build_index(df: DataFrame, n_slots: int, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, seed: int = 7, shard_rows: int = 8192, keep: int = 21) -> DataFrame:
+    """One row per shard of about ``shard_rows`` rows, whatever the partitions of ``df``: every valid row is indexed."""
 
     def build(batches):
-        kinds = pa.schema([("tile", pa.string()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("first", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("longest", pa.float64())])
+        kinds = pa.schema([("slot", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("first", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("longest", pa.float64())])
+        last, held = None, []
+
+        def shard():
+            ids, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if len(ids):
+                yield pa.RecordBatch.from_pylist([{"slot": last[0]} | forest(ids, data, trees, seed, keep)], schema=kinds)
+
         for batch in batches:
             for row in batch.to_pylist():
+                if held and ((row["slot"], row["dim"]) != last or sum(len(x) for x, _ in held) + row["n"] > shard_rows):
+                    yield from shard()
+                last = row["slot"], row["dim"]
                 ids, data = vectors.unpack(row)
-                whole = np.flatnonzero((data != 0).any(axis=1))
-                if len(whole):
-                    yield pa.RecordBatch.from_pylist([{"tile": row["tile"]} | forest(ids[whole], data[whole], trees, seed, keep)], schema=kinds)
+                whole = (data != 0).any(axis=1)
+                held.append((ids[whole], data[whole]))
+        if held:
+            yield from shard()
 
-    return vectors.tiles(df, id_col, vec_col, shard_rows).mapInArrow(build, INDEX_SCHEMA)
+    dealt = vectors.tiles(df, id_col, vec_col, shard_rows).withColumn("slot", vectors.slot_of("tile", n_slots))
+    return dealt.repartition(n_slots, "slot").sortWithinPartitions("slot", "dim", "tile").mapInArrow(tidy(build), INDEX_SCHEMA)
 
 
 def ascend(keys: np.ndarray, strings: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,8 +110,8 @@ def ascend(keys: np.ndarray, strings: np.ndarray, want: int) -> tuple[np.ndarray
     level = np.zeros(asked, np.int64)
     open_ = np.arange(asked)
     for bits in range(1, BITS + 1):  # descend while the common prefix still has enough matches in all trees together
-        mask = np.uint64(((1 << bits) - 1) << (BITS - bits))
-        rest = np.uint64((1 << (BITS - bits)) - 1)
+        mask = np.uint32(((1 << bits) - 1) << (BITS - bits))
+        rest = np.uint32((1 << (BITS - bits)) - 1)
         lo = np.stack([np.searchsorted(keys[t], strings[t, open_] & mask, "left") for t in range(trees)])
         hi = np.stack([np.searchsorted(keys[t], (strings[t, open_] & mask) | rest, "right") for t in range(trees)])
         enough = (hi - lo).sum(axis=0) >= want
@@ -106,7 +122,15 @@ def ascend(keys: np.ndarray, strings: np.ndarray, want: int) -> tuple[np.ndarray
     return level, low, high
 
 
-def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, share: float = 1.0, query_rows: int = 1024) -> DataFrame:
+def candidates(places: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, most: int) -> np.ndarray:
+    """The ``most`` vectors of a shard that match in most trees (more where the last ones are equal in that), in place order."""
+    votes = np.bincount(np.concatenate([p[a:b] for p, a, b in zip(places, low, high, strict=True)]), minlength=n)
+    if most >= n:
+        return np.flatnonzero(votes)
+    return np.flatnonzero(votes >= max(1, np.partition(votes, n - most)[n - most]))
+
+
+def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, seed: int = 7, share: float = SHARE, want: float = WANT, query_rows: int = 1024) -> DataFrame:
     """The k nearest found for each query row, by exact inner product in double precision."""
     queries = vectors.tiles(df.where(is_query), id_col, vec_col, query_rows)
 
@@ -115,7 +139,7 @@ def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: i
             for row in batch.to_pylist():
                 data = np.frombuffer(row["data"], "<f8").reshape(row["n"], row["dim"])
                 ids, first = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["first"], "<i8")
-                keys = np.frombuffer(row["keys"], "<u8").reshape(trees, -1)
+                keys = np.frombuffer(row["keys"], "<u4").reshape(trees, -1)
                 places = np.frombuffer(row["places"], "<u4").reshape(trees, -1)
                 asked, qdata = vectors.unpack(row, "q_")
                 whole = np.flatnonzero((qdata != 0).any(axis=1))
@@ -124,10 +148,11 @@ def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: i
                     continue
                 raised = np.hstack([qdata, np.zeros((len(qdata), 1))])
                 strings = np.stack([hashed(raised, t, seed) for t in range(trees)])
-                _, low, high = ascend(keys, strings, max(k + 1, math.ceil(share * row["n"])))
+                _, low, high = ascend(keys, strings, max(k + 1, math.ceil(want * row["n"])))
+                most = max(4 * (k + 1), math.ceil(share * row["n"]))
                 out = []
                 for i, q in enumerate(asked):
-                    near = np.unique(np.concatenate([places[t, low[t, i] : high[t, i]] for t in range(trees)])).astype(np.int64)
+                    near = candidates(places, low[:, i], high[:, i], row["n"], most)
                     if not len(near):
                         continue
                     others = np.concatenate([[0], np.cumsum(ids != q)])
@@ -149,21 +174,23 @@ def search(df: DataFrame, index: DataFrame, is_query: Column, n_slots: int, k: i
                     qs, vs, ss = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(np.full(len(qs), row["slot"]), pa.int32()), pa.array(vs, pa.int64()), pa.array(ss, pa.float64())], names=["query_id", "slot", "vec_id", "score"])
 
-    found = vectors.meet(index, queries, n_slots).mapInArrow(look, "query_id long, slot int, vec_id long, score double")
+    found = vectors.meet(index, queries, n_slots).mapInArrow(tidy(look), "query_id long, slot int, vec_id long, score double")
     return vectors.merge_top(found, k, n_slots)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 24, seed: int = 7, share: float = 1.0, shard_rows: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, seed: int = 7, share: float = SHARE, want: float = WANT, shard_rows: int = 8192) -> DataFrame:
     """Index ``df`` and search it for its own query rows.
 
     Returns ``query_id long, rank int, vec_id long, score double``. Null, zero,
     empty, null-holding and non-finite vectors, and rows with a null id, take no
     part. A query isn't its own candidate, ties go to the smaller id, repeated
     vectors all count. Vectors of another dimension are no candidates. Other
-    columns are ignored; an empty table gives no rows. ``share`` sets how many
-    matches the ascent gathers in each shard, in proportion to its distinct vectors.
+    columns are ignored; an empty table gives no rows. ``want`` sets how many
+    matches the ascent gathers in each shard and ``share`` how much of it is scored (four times ``k`` at
+    least), both in proportion to its distinct vectors.
     """
     asked = df.where(is_query)
     rows, asked = (only(x, vec_id=id_col, vector=vec_col).select(F.col("vec_id").cast("long").alias("vec_id"), "vector") for x in (df, asked))
-    index = build_index(rows, "vec_id", "vector", trees, seed, shard_rows, k + 1)
-    return search(asked, index, F.lit(True), vectors.slots(rows.count(), shard_rows), k, "vec_id", "vector", trees, seed, share)
+    n_slots = vectors.slots(rows.count(), shard_rows)
+    index = build_index(rows, n_slots, "vec_id", "vector", trees, seed, shard_rows, k + 1)
+    return search(asked, index, F.lit(True), n_slots, k, "vec_id", "vector", trees, seed, share, want)

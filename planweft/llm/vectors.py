@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planweft.llm.shared import tidy
+
 TILE_SCHEMA = "tile string, dim int, n int, ids binary, data binary"
 
 
@@ -61,7 +63,7 @@ def tiles(df: DataFrame, id_col: str, vec_col: str, tile_rows: int) -> DataFrame
             if len(ids):
                 yield row(dim, ids, data)
 
-    return df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(pack, TILE_SCHEMA)
+    return df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(tidy(pack), TILE_SCHEMA)
 
 
 def unpack(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +75,17 @@ def slots(total_rows: int, tile_rows: int) -> int:
     return max(1, math.ceil(total_rows / tile_rows))
 
 
+def slot_of(tile: str, n_slots: int) -> Column:
+    return F.pmod(F.xxhash64(tile), F.lit(n_slots)).cast("int")
+
+
 def meet(shards: DataFrame, queries: DataFrame, n_slots: int) -> DataFrame:
     """Rows of a shard tile beside a query tile: the blocks of a stated query set against all rows.
 
     Shard tiles stay whole and are dealt to slots; the query tiles are sent to
     every slot, so a task holds one tile of each side whatever the table sizes.
     """
-    dealt = shards.withColumn("slot", F.pmod(F.xxhash64("tile"), F.lit(n_slots)).cast("int"))
+    dealt = shards if "slot" in shards.columns else shards.withColumn("slot", slot_of("tile", n_slots))
     asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns), F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("q_slot"))
     return dealt.hint("merge").join(asked, (F.col("slot") == F.col("q_slot")) & (F.col("dim") == F.col("q_dim")))
 

@@ -75,10 +75,33 @@ def test_forest_of_equal_vectors(spark):
 
 
 def test_ascent_stops_at_the_longest_prefix_with_enough_matches():
-    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, (3, 500), dtype=np.uint64) * np.uint64(2), axis=1)
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**32, (3, 500), dtype=np.uint32), axis=1)
     level, low, high = ann.ascend(keys, keys[:, :5], 40)
     assert ((high - low).sum(axis=0) >= 40).all()
     for i in range(5):
         bits = int(level[i]) + 1
-        match = sum(int(((k >> np.uint64(64 - bits)) == (keys[t, i] >> np.uint64(64 - bits))).sum()) for t, k in enumerate(keys))
+        match = sum(int(((k >> np.uint32(32 - bits)) == (keys[t, i] >> np.uint32(32 - bits))).sum()) for t, k in enumerate(keys))
         assert match < 40
+
+
+def test_recall_over_the_whole_table_and_what_is_scored(spark, monkeypatch):
+    """All queries of the given table against brute force over all of it; at most a quarter of a shard is scored."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding and any(r.embedding) and all(x is not None and np.isfinite(x) for x in r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = np.where(ids == ids[i], -np.inf, x @ x[i])
+        best = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
+        hits, total = hits + len(best & found[ids[i]]), total + 20
+    assert hits / total >= 0.9
+    index = ann.forest(ids, x, ann.TREES, 7, 21)
+    keys, places = np.frombuffer(index["keys"], "<u4").reshape(ann.TREES, -1), np.frombuffer(index["places"], "<u4").reshape(ann.TREES, -1)
+    asked = x[ids % 20 == 0]
+    strings = np.stack([ann.hashed(np.hstack([asked, np.zeros((len(asked), 1))]), t, 7) for t in range(ann.TREES)])
+    _, low, high = ann.ascend(keys, strings, int(ann.WANT * len(x)))
+    scored = [len(ann.candidates(places, low[:, i], high[:, i], len(x), int(ann.SHARE * len(x)))) for i in range(len(asked))]
+    assert np.mean(scored) <= 0.25 * len(x)

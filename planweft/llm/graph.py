@@ -14,6 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round hangs every node's larger neighbours, then its smaller ones, on
     the smallest neighbour. A round's table is written once, so a lost executor
     costs that round. Loops and repeated edges don't matter; no edges, no rows.
+    Rounds grow with the logarithm of the nodes; it raises if ``most_rounds`` don't do.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     print_before = None
@@ -23,7 +24,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each node and its smaller neighbours go to the smallest of them
-        large = cut(large)
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())

@@ -12,12 +12,15 @@ The join finds which documents are linked and gives their components;
 4. Set relations: every set is compared with a leader, the set of its prefix
    lists that shares most with others. Sets linked with their leader are one
    component, and their difference from the leader is kept.
-5. Index lists hold what can still join two components. They are split into
-   blocks of bounded size; inside, entries are sorted by set size, and whole
+5. Index lists hold what can still join two components: lists whose sets are all
+   in one are dropped. While the rest could hold many pairs, another round gives each
+   list another leader, compares its sets of other components with that, and refreshes the
+   components: a family of n sets costs n comparisons a round, not a square.
+6. The lists that are left are split into blocks of bounded size; inside, entries are sorted by set size, and whole
    blocks are skipped by size, by position (too little is left behind it) and if
    all their sets are in one component. What remains passes a parity bitmap that
    bounds the difference of two sets.
-6. A candidate's overlap is derived from its leader's: the overlap of the leader
+7. A candidate's overlap is derived from its leader's: the overlap of the leader
    with the other set, computed once for all its followers, less what the
    follower lacks, plus what it adds.
 
@@ -32,12 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import graph
-from planweft.llm.shared import cut, only, parallelism, place_of, positional, text_or_empty
+from planweft.llm.shared import cut, only, parallelism, place_of, positional, text_or_empty, tidy
 from planweft.llm.shingles import mix, sets_of
 
 FLUSH = 1 << 20
 LIST_BLOCK = 256
 SKIP_BLOCK = 32
+#: Rounds of leaders at most, and the length of lists, on average over their entries, up to which pairs cost less than a round.
+ROUNDS = 12
+SHORT = 1024
+#: Ids of 8 bytes that may be sent to every task; more are joined by a shuffle.
+SMALL_IDS = 4_000_000
+#: Pairs with one leader that a task compares at most.
+LED = 1024
+#: Bytes of text, and shingles, for each bucket that shingles are dealt to.
+BUCKET_BYTES = 32 << 20
+BUCKET_TOKENS = 2 << 20
 #: Sets of a tile, and tokens of a membership matrix, where the links of a component are counted.
 TILE = 256
 TOKENS = 4096
@@ -76,14 +89,14 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 sets = sets_of(some.column(1), k)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(signature, sets), pa.string())], names=["doc_id", "n_shingles", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, signature string")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, signature string")
 
 
 class Dealer:
-    """Collects (key, columns...) in memory up to a bound and deals them out in one packed row per bucket."""
+    """Collects (bucket, columns...) in memory up to a bound, combines them and deals them out in one packed row per bucket."""
 
-    def __init__(self, buckets: int, names: list[str]):
-        self.buckets, self.names, self.held, self.rows = buckets, names, [], 0
+    def __init__(self, buckets: int, names: list[str], combine=lambda *columns: columns):
+        self.buckets, self.names, self.combine, self.held, self.rows = buckets, names, combine, [], 0
 
     def add(self, bucket: np.ndarray, *columns: np.ndarray):
         self.held.append((bucket, *columns))
@@ -94,7 +107,7 @@ class Dealer:
     def flush(self):
         if not self.rows:
             return
-        bucket, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        bucket, *columns = self.combine(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
         self.held, self.rows = [], 0
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -109,12 +122,32 @@ def gathered(batches, kinds: list[str]):
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
 
 
+def buckets_for(spark, size: int | None, each: int) -> int:
+    """How many buckets to deal to: as many as the session shuffles to, and more where ``size`` needs them."""
+    return max(parallelism(spark), -(-int(size or 0) // each))
+
+
+def combined(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, n: np.ndarray, buckets: int):
+    """Postings of one key that meet here know already that it is shared: they go home by any bucket (a negative n), and one mark (doc and n 0) stands for them."""
+    order = np.argsort(key, kind="stable")
+    bucket, key, doc, n = bucket[order], key[order], doc[order], n[order]
+    same = key[1:] == key[:-1]
+    again = np.zeros(len(key), bool)
+    again[1:] = same
+    again[:-1] |= same
+    first = again & np.concatenate([[True], ~same])
+    home = (mix(doc[again].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    parts = [bucket[~again], bucket[first], home], [key[~again], key[first], key[again]], [doc[~again], np.zeros(first.sum(), np.int64), doc[again]], [n[~again], np.zeros(first.sum(), np.int32), -n[again]]
+    return tuple(map(np.concatenate, parts))
+
+
 def maybe_linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id of the rows that the counting filter can't rule out."""
-    buckets = parallelism(docs.sparkSession)
+    # a quarter of a text's shingles, at most one for two of its bytes, at 16 bytes
+    buckets = buckets_for(docs.sparkSession, docs.select(F.sum(F.octet_length("text").cast("long"))).collect()[0][0], BUCKET_BYTES)
 
     def deal(batches):
-        dealer = Dealer(buckets, ["key", "doc", "n"])
+        dealer = Dealer(buckets, ["key", "doc", "n"], lambda *columns: combined(*columns, buckets))
         for batch in batches:
             for some in in_parts(batch.filter(batch.column(0).is_valid())):
                 sets = [s for s in sets_of(some.column(1), k)]
@@ -129,14 +162,20 @@ def maybe_linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         key, doc, n = gathered(batches, ["<u4", "<i8", "<i4"])
         if not len(key):
             return
+        known = n < 0
+        homeward = [(doc[known], -n[known])]
+        key, doc, n = key[~known], doc[~known], n[~known]
         order = np.argsort(key, kind="stable")
         key, doc, n = key[order], doc[order], n[order]
+        same = key[1:] == key[:-1]
         again = np.zeros(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        again[:-1] |= again[1:]
-        doc, n = doc[again], n[again]
+        again[1:] = same
+        again[:-1] |= same
+        again &= n > 0  # marks have no set of their own
+        homeward.append((doc[again], n[again]))
         homes = Dealer(buckets, ["doc", "n"])
-        yield from homes.add((mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc, n)
+        for doc, n in homeward:
+            yield from homes.add((mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc, n)
         yield from homes.flush()
 
     def enough(batches):
@@ -149,8 +188,8 @@ def maybe_linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         kept = doc[starts[shared >= 1 + slack(needed(n[starts], percent))]]
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(kept), pa.int64())], names=["doc_id"])
 
-    dealt = docs.mapInArrow(deal, "bucket int, key binary, doc binary, n binary").repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(count, "bucket int, doc binary, n binary").repartitionById(buckets, F.col("bucket")).mapInArrow(enough, "doc_id long")
+    dealt = docs.mapInArrow(tidy(deal), "bucket int, key binary, doc binary, n binary").repartitionById(buckets, F.col("bucket"))
+    return dealt.mapInArrow(tidy(count), "bucket int, doc binary, n binary").repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(enough), "doc_id long")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -162,15 +201,15 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = sets_of(some.column(1), k)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(map(signature, sets), pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "signature", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, signature string, tokens binary").where(F.octet_length("tokens") > 0)
+    return docs.mapInArrow(tidy(run), "doc_id long, signature string, tokens binary").where(F.octet_length("tokens") > 0)
 
 
-def ordered(sets: DataFrame) -> DataFrame:
-    """rep, n, weight, tokens and counts: each set's tokens by (number of sets that have them, hash), with those numbers.
+def ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, weight, tokens and counts: each set's tokens by (number of sets that have them, hash), with those numbers for its prefix.
 
     Tokens go to buckets by hash to be counted, and back to buckets by set, packed both ways.
     """
-    buckets = parallelism(sets.sparkSession)
+    buckets = buckets_for(sets.sparkSession, sets.select(F.sum(F.octet_length("tokens").cast("long"))).collect()[0][0], 8 * BUCKET_TOKENS)
 
     def deal(batches):
         dealer = Dealer(buckets, ["token", "rep"])
@@ -199,18 +238,18 @@ def ordered(sets: DataFrame) -> DataFrame:
         for at in range(0, len(starts), 256):
             some = list(zip(starts[at : at + 256], ends[at : at + 256], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[starts[at : at + 256]]), pa.array([b - a for a, b in some], pa.int64()), pa.array([float(np.minimum(times[a:b], 1 << 20).mean()) for a, b in some], pa.float64()), pa.array([token[a:b].tobytes() for a, b in some], pa.binary()), pa.array([times[a:b].tobytes() for a, b in some], pa.binary())],
+                # the numbers are only looked at in the prefix
+                [pa.array(rep[starts[at : at + 256]]), pa.array([b - a for a, b in some], pa.int64()), pa.array([float(np.minimum(times[a:b], 1 << 20).mean()) for a, b in some], pa.float64()), pa.array([token[a:b].tobytes() for a, b in some], pa.binary()), pa.array([times[a : b - needed(b - a, percent) + 1].tobytes() for a, b in some], pa.binary())],
                 names=["rep", "n", "weight", "tokens", "counts"],
             )
 
-    counted = sets.select("rep", "tokens").mapInArrow(deal, "bucket int, token binary, rep binary").repartitionById(buckets, F.col("bucket")).mapInArrow(count, "bucket int, token binary, rep binary, times binary")
-    return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(rebuild, "rep long, n long, weight double, tokens binary, counts binary")
+    counted = sets.select("rep", "tokens").mapInArrow(tidy(deal), "bucket int, token binary, rep binary").repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(count), "bucket int, token binary, rep binary, times binary")
+    return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(rebuild), "rep long, n long, weight double, tokens binary, counts binary")
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
     """Parity bitmap: bit h flips for each token that hashes to h. Differing bits are at most differing tokens."""
-    size = 8 << max(2, int(len(tokens)).bit_length() - 3)  # bits: at least twice the tokens, a power of two
-    size = max(size, 2 << int(len(tokens)).bit_length())
+    size = 4 << max(4, int(len(tokens)).bit_length())  # bits: at least four times the tokens, a power of two
     odd = np.bincount((mix(tokens) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -231,7 +270,7 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, kinds, strict=True)], names=["token", "rep", "n", "place", "times", "weight"])
 
-    return sets.select("rep", "n", "weight", "tokens", "counts").mapInArrow(run, "token long, rep long, n long, place long, times int, weight double")
+    return sets.select("rep", "n", "weight", "tokens", "counts").mapInArrow(tidy(run), "token long, rep long, n long, place long, times int, weight double")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -245,18 +284,27 @@ def linked(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
+def with_tokens(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, leader, own_tokens, lead_tokens of pairs (rep, leader); the pairs of one leader are split over tasks."""
+    parts = pairs.groupBy(F.col("leader").alias("of_leader")).agg(F.ceil(F.count(F.lit(1)) / F.lit(LED)).cast("int").alias("parts"))
+    split = cut(pairs.join(parts, F.col("leader") == F.col("of_leader")).select("rep", "leader", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "parts"))
+    own = sets.select(F.col("rep").alias("own"), F.col("tokens").alias("own_tokens"))
+    wanted = split.select(F.col("leader").alias("led_by"), "parts").distinct()
+    lead = sets.select(F.col("rep").alias("lead_rep"), F.col("tokens").alias("lead_tokens")).join(wanted, F.col("lead_rep") == F.col("led_by"))
+    lead = lead.select("led_by", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lead_part"), "lead_tokens")
+    rows = split.join(own, F.col("rep") == F.col("own")).join(lead, (F.col("leader") == F.col("led_by")) & (F.col("part") == F.col("lead_part")))
+    return rows.select("rep", "leader", "own_tokens", "lead_tokens")
+
+
 def follow(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """rep, leader, minus, plus: the sets that are linked with their leader, and how they differ from it.
 
     A set's leader is the one of greatest weight in any of its prefix lists.
     """
     best = F.max(F.struct("weight", (-F.col("rep")).alias("minus_rep"))).alias("best")
-    per_list = cut(lists.groupBy("token").agg(best)).select(F.col("token").alias("of_token"), "best")
+    per_list = lists.groupBy(F.col("token").alias("of_token")).agg(best)
     chosen = lists.join(per_list, F.col("token") == F.col("of_token")).groupBy("rep").agg(F.max("best").alias("best"))
     pairs = chosen.select("rep", (-F.col("best.minus_rep")).alias("leader")).where("rep <> leader")
-    own = sets.select(F.col("rep").alias("own"), F.col("tokens").alias("own_tokens"))
-    lead = sets.select(F.col("rep").alias("led_by"), F.col("tokens").alias("lead_tokens"))
-    rows = pairs.join(own, F.col("rep") == F.col("own")).join(lead, F.col("leader") == F.col("led_by")).select("rep", "leader", "own_tokens", "lead_tokens")
 
     def run(batches):
         kinds = pa.schema([("rep", pa.int64()), ("leader", pa.int64()), ("minus", pa.binary()), ("plus", pa.binary())])
@@ -270,7 +318,38 @@ def follow(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return rows.mapInArrow(run, "rep long, leader long, minus binary, plus binary")
+    return with_tokens(pairs, sets).mapInArrow(tidy(run), "rep long, leader long, minus binary, plus binary")
+
+
+def still_open(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """token, rep, n, place, component, entries: the lists whose sets are in more than one component."""
+    placed = lists.join(component.select(F.col("rep").alias("of_rep"), F.col("component").alias("known")), F.col("rep") == F.col("of_rep"), "left").select("token", "rep", "n", "place", F.coalesce("known", "rep").alias("component"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("entries")).where("low <> high")
+    return cut(placed.join(mixed.select(F.col("token").alias("of_token"), "entries"), F.col("token") == F.col("of_token")).drop("of_token"))
+
+
+def led_links(open_: DataFrame, sets: DataFrame, percent: int, round_: int) -> DataFrame:
+    """rep, leader: links of the sets of open lists with their lists' leaders, which differ from round to round."""
+    per_list = open_.groupBy("token").agg(F.max(F.struct(F.xxhash64("rep", "token", F.lit(round_)).alias("drawn"), "rep", "n", "component")).alias("lead"))
+    met = open_.join(per_list.select(F.col("token").alias("of_token"), "lead"), F.col("token") == F.col("of_token"))
+    near = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & (F.col("component") != F.col("lead.component"))
+    pairs = met.where(near).select("rep", F.col("lead.rep").alias("leader")).distinct()
+
+    def run(batches):
+        last, lead = None, None
+        for batch in batches:
+            reps, leaders, own = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            out = []
+            for i, leader in enumerate(leaders):
+                if leader != last:
+                    last, lead = leader, np.sort(np.frombuffer(batch.column(3)[i].as_py(), "<u8"))
+                tokens = np.frombuffer(own[i].as_py(), "<u8")
+                if linked(overlap(tokens, lead), len(tokens), len(lead), percent):
+                    out.append((reps[i], leader))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["rep", "leader"])
+
+    return with_tokens(pairs, sets).sortWithinPartitions("leader").mapInArrow(tidy(run), "rep long, leader long")
 
 
 def list_pairs(rep, n, place, comp, bits, side, percent: int):
@@ -328,17 +407,14 @@ def list_pairs(rep, n, place, comp, bits, side, percent: int):
     return np.minimum(p, q), np.maximum(p, q)
 
 
-def candidates(lists: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of sets of different components that pass all bounds."""
-    placed = cut(lists.join(component.select(F.col("rep").alias("of_rep"), "component"), F.col("rep") == F.col("of_rep"), "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("component")))
-    mixed = cut(placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("entries")).where("low <> high"))
-    open_ = placed.join(mixed.select(F.col("token").alias("of_token"), "entries"), F.col("token") == F.col("of_token"))
+def candidates(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets of different components in open lists that pass all bounds."""
 
     def add_bits(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(np.frombuffer(t, "<u8")) for t in batch.column(1).to_pylist()], pa.binary())], names=["bits_of", "bits"])
 
-    maps = sets.select("rep", "tokens").mapInArrow(add_bits, "bits_of long, bits binary")
+    maps = sets.select("rep", "tokens").mapInArrow(tidy(add_bits), "bits_of long, bits binary")
     parts = F.ceil(F.col("entries") / F.lit(LIST_BLOCK)).cast("int")
     tasks = (
         open_.withColumn("parts", parts)
@@ -357,9 +433,9 @@ def candidates(lists: DataFrame, sets: DataFrame, component: DataFrame, percent:
             cols = {c: part[c].to_numpy() for c in ("rep", "n", "place", "component", "side")}
             a, b = list_pairs(cols["rep"], cols["n"], cols["place"], cols["component"], part["bits"].to_pylist(), cols["side"], percent)
             new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:  # only spares repeated pairs, which go later anyway
                 seen.clear()
-            seen.update(new)
+            seen.update(new[:100_000])
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -375,7 +451,7 @@ def candidates(lists: DataFrame, sets: DataFrame, component: DataFrame, percent:
         if held:
             yield task()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def links(pairs: DataFrame, sets: DataFrame, followers: DataFrame, percent: int) -> DataFrame:
@@ -402,21 +478,38 @@ def links(pairs: DataFrame, sets: DataFrame, followers: DataFrame, percent: int)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
+
+
+def stars_of(edges: DataFrame) -> DataFrame:
+    """rep, component of all sets of the links ``edges`` (rep, leader)."""
+    return cut(graph.components(edges.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("rep"), "component"))
 
 
 def families(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``signature, rep, first_doc, copies, component`` of each set that may have a partner; the sets; the followers."""
-    alive = maybe_linked(docs, k, percent)
+    alive = cut(maybe_linked(docs, k, percent))
+    if alive.count() <= SMALL_IDS:  # then no text needs to be shuffled
+        alive = F.broadcast(alive)
     # equal sets are one, whatever their number; a set's own number is a hash of its name
     grouped = whole_sets(docs.join(alive, "doc_id", "left_semi"), k).groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
     same = cut(grouped.withColumn("rep", F.xxhash64("signature")))
-    sets = cut(ordered(same))
+    sets = cut(ordered(same, percent))
     lists = cut(postings(sets, percent))
     followers = cut(follow(lists, sets, percent))
-    stars = cut(graph.components(followers.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("rep"), "component"))
-    pairs = cut(candidates(lists, sets, stars, percent))
-    found = links(pairs, sets, followers, percent)
+    stars = stars_of(followers)
+    lists = lists.select("token", "rep", "n", "place")
+    open_ = still_open(lists, stars)
+    entries = square = None
+    for round_ in range(ROUNDS):
+        before, (entries, square) = entries, open_.select(F.count(F.lit(1)), F.sum("entries")).collect()[0]
+        # lists are short, or leaders no longer join much: the rest is compared pair by pair
+        if not entries or square <= SHORT * entries or (round_ and entries > 0.9 * before):
+            break
+        met = cut(led_links(open_, sets, percent, round_))
+        stars = stars_of(stars.select("rep", F.col("component").alias("leader")).unionAll(met))
+        open_ = still_open(open_.select("token", "rep", "n", "place"), stars)
+    found = links(candidates(open_, sets, percent), sets, followers, percent)
     whole = graph.components(stars.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionAll(found))
     classes = same.join(whole, F.col("rep") == F.col("node"), "left").select("signature", "rep", "first_doc", "copies", F.coalesce("component", "rep").alias("component"))
     return cut(classes), sets, followers
@@ -430,7 +523,7 @@ def named(classes: DataFrame) -> DataFrame:
 
 def class_of_signature(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``signature, component_id``: the smallest id reachable from each set that may have a partner."""
-    return cut(named(families(docs, k, percent)[0]).select("signature", "component_id"))
+    return named(families(docs, k, percent)[0]).select("signature", "component_id")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -522,7 +615,7 @@ def links_within(classes: DataFrame, sets: DataFrame, followers: DataFrame, perc
                 tile |= dict.fromkeys(("copies", "led", "leads", "minus", "plus"))
             yield pa.RecordBatch.from_pylist([tile], schema=tile_kinds)
 
-    tiles = cut(dealt.mapInArrow(pack, tile_schema))
+    tiles = cut(dealt.mapInArrow(tidy(pack), tile_schema))
     others = tiles.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> tile")
     met = others.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "reps", "copies", "led", "leads", "minus", "plus")
     met = met.repartition(parallelism(sets.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -535,7 +628,7 @@ def links_within(classes: DataFrame, sets: DataFrame, followers: DataFrame, perc
             sums = near @ np.array(two[1]["copies"]), near.T @ np.array(two[0]["copies"])
             yield pa.RecordBatch.from_arrays([pa.array([x["reps"] for x in two], longs), pa.array([x.tolist() for x in sums], longs)], names=["reps", "sums"])
 
-    parts = tiles.select("reps", "sums").unionAll(met.mapInArrow(compare, "reps array<long>, sums array<long>"))
+    parts = tiles.select("reps", "sums").unionAll(met.mapInArrow(tidy(compare), "reps array<long>, sums array<long>"))
     one = parts.select(F.explode(F.arrays_zip("reps", "sums")).alias("x")).select(F.col("x.reps").alias("rep"), F.col("x.sums").alias("n"))
     return one.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
 

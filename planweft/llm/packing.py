@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweft.llm import units
-from planweft.llm.shared import cut, only, text_or_empty
+from planweft.llm.shared import cut, only, text_or_empty, tidy
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 PLAN = "of_length int, first_rank long, last_rank long, each long, sequence long, offset long"
@@ -115,7 +115,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col
                 done += len(ends)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, PIECES)
+    return only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweft.llm.shared import only, text_or_empty
+from planweft.llm.shared import only, text_or_empty, tidy
 from planweft.llm.units import Units
 
 SPACE = "▁"
@@ -199,7 +199,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 some = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([vocabulary.encode(t or "", units) for t in some.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
-    return only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -213,7 +213,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 texts = [vocabulary.decode(np.frombuffer(x or b"", "<u4").tolist(), table) for x in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

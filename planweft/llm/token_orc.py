@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweft.llm import units
-from planweft.llm.shared import new_dir, only, parallelism, text_or_empty
+from planweft.llm.shared import new_dir, only, parallelism, text_or_empty, tidy
 
 FILE_SCHEMA = "doc_id long, part int, before long, n int, ids array<int>"
 
@@ -38,7 +38,7 @@ def encode_documents(sorted_docs: DataFrame, tokenizer: str, end_id: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(ends)), pa.array(np.full(len(ends), part), pa.int32()), pa.array(before + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int32()), lists], names=["doc_id", "part", "before", "n", "ids"])
                 done, before = done + len(ends), before + int(ends[-1])
 
-    return sorted_docs.mapInArrow(run, FILE_SCHEMA)
+    return sorted_docs.mapInArrow(tidy(run), FILE_SCHEMA)
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, stripe_bytes: int = 64 << 20, index_stride: int = 1000) -> None:
@@ -73,7 +73,7 @@ def summarise(tokens: DataFrame) -> DataFrame:
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
-    docs = tokens.select("doc_id", "part", "before", "ids").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    docs = tokens.select("doc_id", "part", "before", "ids").mapInArrow(tidy(run), "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
     # the ids themselves aren't read for the totals
     totals = tokens.groupBy("part").agg(F.sum(F.col("n").cast("long")).alias("tokens"))
     starts = totals.select(F.col("part").alias("of_part"), F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import vectors
-from planweft.llm.shared import only
+from planweft.llm.shared import only, tidy
 
 EXACT = float(2**53)
 
@@ -79,5 +79,5 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     qs, vs, ss = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(np.full(len(qs), row["slot"]), pa.int32()), pa.array(vs, pa.int64()), pa.array(ss, pa.int64())], names=["query_id", "slot", "vec_id", "score"])
 
-    found = vectors.meet(shards, queries, n_slots).mapInArrow(multiply, "query_id long, slot int, vec_id long, score long")
+    found = vectors.meet(shards, queries, n_slots).mapInArrow(tidy(multiply), "query_id long, slot int, vec_id long, score long")
     return vectors.merge_top(found, k, n_slots)

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import gbt
-from planweft.llm.shared import cut, only, place_of, positional, text_or_empty
+from planweft.llm.shared import cut, only, place_of, positional, text_or_empty, tidy
 
 FOLDS = 3
 PREFIXES = (3, 4, 5, 6)
 NEAR = 5
+#: Words and beginnings that a task counts before it passes the counts on.
+TALLIED = 300_000
 #: Second-person words of English, German, French and Spanish.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 #: Signs that stand for letters in disguised words.
@@ -45,10 +47,13 @@ def keys_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in PREFIXES if len(word) >= n)]
 
 
+NOTHING = (0.0, 0.0)
+
+
 class Weights(dict):
     """word -> (weight of the word itself, weight of its best beginning), kept for at most ``most`` words."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 100_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
 
@@ -56,7 +61,8 @@ class Weights(dict):
         if len(self) >= self.most:
             self.clear()
         own, *starts = keys_of(word)
-        found = self[word] = self.lexicon.get(own, 0.0), max((self.lexicon.get(x, 0.0) for x in starts), default=0.0)
+        found = self.lexicon.get(own, 0.0), max((self.lexicon.get(x, 0.0) for x in starts), default=0.0)
+        found = self[word] = found if found != NOTHING else NOTHING  # one pair for all the words that say nothing
         return found
 
 
@@ -120,17 +126,26 @@ def lexicons(sample: DataFrame, most: int = 4000, least_toxic: int = 3, least_od
 
     def count(batches):
         tallies = [[Counter(), Counter()] for _ in range(FOLDS)]
+
+        def emptied():
+            for fold, (clean, toxic) in enumerate(tallies):
+                keys = list(clean.keys() | toxic.keys())
+                for at in range(0, len(keys), 50_000):
+                    some = keys[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([fold] * len(some), pa.int32()), pa.array([toxic[k] for k in some], pa.int64()), pa.array([clean[k] for k in some], pa.int64())], names=["key", "fold", "toxic", "clean"])
+                clean.clear()
+                toxic.clear()
+
         for batch in batches:
-            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):  # one text at a time, and a bounded tally
+                text, toxic, fold = (c[i].as_py() for c in batch.columns)
                 tallies[fold][toxic].update({k for w in set(WORD.findall(text.lower())) for k in keys_of(w)} | {""})
-        for fold, (clean, toxic) in enumerate(tallies):
-            keys = list(clean.keys() | toxic.keys())
-            for at in range(0, len(keys), 50_000):
-                some = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([fold] * len(some), pa.int32()), pa.array([toxic[k] for k in some], pa.int64()), pa.array([clean[k] for k in some], pa.int64())], names=["key", "fold", "toxic", "clean"])
+                if sum(len(t) for pair in tallies for t in pair) > TALLIED:
+                    yield from emptied()
+        yield from emptied()
 
     sums = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "clean")]
-    tally = sample.select("text", "toxic", "fold").mapInArrow(count, "key string, fold int, toxic long, clean long").groupBy("key").agg(*sums)
+    tally = sample.select("text", "toxic", "fold").mapInArrow(tidy(count), "key string, fold int, toxic long, clean long").groupBy("key").agg(*sums)
     toxic, clean = (sum(F.col(f"{c}{f}") for f in range(FOLDS)) for c in ("toxic", "clean"))
     # of the sample only, and at most 5 * most keys
     rows = tally.where((F.col("key") == "") | ((toxic >= least_toxic) & (toxic > clean / 4))).orderBy(F.col("key") != "", toxic.desc(), clean, "key").limit(1 + 5 * most).collect()
@@ -160,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon
     def features(batches):
         weights = [Weights(x) for x in books[:FOLDS]]
         for batch in batches:
-            rows = [[float(f), float(y), *featurise(t, weights[f])] for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [[float(f), float(y), *featurise(t.as_py(), weights[f])] for t, y, f in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
 
-    rows = sample.select("text", "toxic", "fold").mapInArrow(features, "x array<double>").collect()  # sample_rows short rows at most
+    rows = sample.select("text", "toxic", "fold").mapInArrow(tidy(features), "x array<double>").collect()  # sample_rows short rows at most
     data = np.array(sorted(r["x"] for r in rows)).reshape(-1, 2 + len(FEATURES))
     fold, y, x = data[:, 0], data[:, 1], data[:, 2:]
     apart = np.zeros(len(y))
@@ -181,11 +196,11 @@ def scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
     def run(batches):
         weights = Weights(model.lexicon)
         for batch in batches:
-            x = np.array([featurise(t or "", weights) for t in batch.column(len(kept)).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            x = np.array([featurise(t.as_py() or "", weights) for t in batch.column(len(kept))], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*kept, "score"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.select(*kept, text_or_empty(text).alias("to_score")).mapInArrow(run, schema)
+    return rows.select(*kept, text_or_empty(text).alias("to_score")).mapInArrow(tidy(run), schema)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

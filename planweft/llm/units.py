@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from planweft.llm.shared import give_back
+
 #: White space and controls that make a cut beside them unsafe, besides the space and the newline themselves.
 _ODD = r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{1680}\x{180b}-\x{180f}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{fe00}-\x{fe0f}\x{feff}\x{e0000}-\x{e0fff}]"
 #: Neighbouring white space, or some at a text's end.
@@ -30,8 +32,8 @@ BARE = "\x02"
 #: A word, what stands before it, and the marks behind it; all vocabularies split a letter from a mark, but for the apostrophe.
 _WORD = rf"\A(?P<head>[\x02\n]?)(?P<word>[{LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)\z"
 #: Text bytes whose words are told apart at once, and words whose ids are laid out at once; one longer text aside.
-BLOCK = 16 << 20
-LAID = 1 << 20
+BLOCK = 8 << 20
+LAID = 1 << 18
 
 
 class Units(dict):
@@ -177,6 +179,7 @@ class Library:
                 ids, ends = gathered(flat, sizes, which[starts[at] : starts[end]])
                 yield ids, np.concatenate([[0], ends])[last[at:end] - starts[at]]
                 at = end
+            give_back()
 
     def documents(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """As :meth:`encode`, with ``end_id`` behind each text's ids."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweft.llm.shared import cut, new_dir, only, parallelism, text_or_empty
+from planweft.llm.shared import cut, new_dir, only, parallelism, text_or_empty, tidy
 
 #: Fixed values of the public formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, frame
         if bundle is not None and (found := bundle.close()):
             yield rows(found)
 
-    return cut(with_roles(pages, least_bytes).mapInArrow(run, INDEX_SCHEMA))
+    return cut(with_roles(pages, least_bytes).mapInArrow(tidy(run), INDEX_SCHEMA))
 
 
 def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads: bool = True) -> DataFrame:
@@ -217,7 +217,7 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads:
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     named = files.select("file").distinct()
-    return named.mapInArrow(frames, "file string, start long, bytes long").repartition(parallelism(spark)).mapInArrow(records, RECORD_SCHEMA)
+    return named.mapInArrow(tidy(frames), "file string, start long, bytes long").repartition(parallelism(spark)).mapInArrow(tidy(records), RECORD_SCHEMA)
 
 
 def read_records(spark: SparkSession, folder: str, index: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame, identifiers
                         last, data = (r["file"], r["frame_start"]), plain.decompress(source.read(r["frame_bytes"]))
                 yield pa.RecordBatch.from_pylist(list(from_frame(data[r["offset"] : r["offset"] + r["length"]])), schema=kinds)
 
-    return index.join(wanted, "record_id").select("file", "frame_start", "frame_bytes", "offset", "length").sortWithinPartitions("file", "frame_start").mapInArrow(run, RECORD_SCHEMA)
+    return index.join(wanted, "record_id").select("file", "frame_start", "frame_bytes", "offset", "length").sortWithinPartitions("file", "frame_start").mapInArrow(tidy(run), RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000) -> DataFrame:

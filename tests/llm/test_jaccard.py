@@ -132,3 +132,46 @@ def test_graph_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {x.node: x.component for x in graph.components(df).collect()} == wanted
     assert graph.components(df.limit(0)).collect() == []
+
+
+def one_word_variants(spark, n, words=100, seed=1):
+    """``n`` texts that each have another one of the words replaced: one family, most pairs of which are just below the threshold."""
+    import random
+
+    r = random.Random(seed)
+    base, rows = [f"w{r.randint(0, 10**9)}" for _ in range(words)], []
+    for i in range(n):
+        text = list(base)
+        text[r.randrange(words)] = f"x{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(text)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_a_family_of_near_misses(spark):
+    rows, df = one_word_variants(spark, 250)
+    wanted = brute(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df).collect()} == {rows[x][0]: c for x, c in wanted.items()}
+
+
+def test_a_family_costs_in_proportion(spark):
+    """8,000 such texts in less than 25 s, and no more than three times what half of them take."""
+    import time
+
+    took = []
+    for n in (4000, 8000):
+        df = one_word_variants(spark, n)[1].cache()
+        df.count()
+        start = time.time()
+        assert jaccard.jaccard_join(df).select("component_id").distinct().count() == 1
+        took.append(time.time() - start)
+    assert took[1] < 25 and took[1] < 3 * took[0]
+
+
+def test_shared_keys_are_combined():
+    """What the counting filter learns doesn't depend on where postings of one key meet."""
+    import numpy as np
+
+    key, doc, n = np.array([5, 7, 5, 9, 5], np.uint32), np.array([1, 2, 3, 4, 5]), np.full(5, 6, np.int32)
+    bucket, key, doc, n = jaccard.combined(key.astype(np.int32) % 4, key, doc, n, 4)
+    assert sorted(doc[n < 0].tolist()) == [1, 3, 5] and sorted(doc[n > 0].tolist()) == [2, 4]
+    assert key[n == 0].tolist() == [5] and len(bucket) == len(key) == 6

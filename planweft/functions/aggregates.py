@@ -17,8 +17,8 @@ def wide(x: Aggregation, a: Column) -> Column:
     return cast(a, x.type.as_nullable())
 
 
-def aggregate(x: Aggregation, a: Column, order: Column | None, place: Column | None) -> Column:
-    """``order``: the arrival order, for ordered aggregations; ``place``: the place in it, from 0 on (from the end for a negative n)."""
+def aggregate(x: Aggregation, a: Column, order: Column | None) -> Column:
+    """``order``: the order of rows, for ordered aggregations. NTH_ELEMENT of an inner place is the compiler's."""
     op = x.op
     if op == "SUM":
         made = F.sum(wide(x, a))
@@ -46,10 +46,7 @@ def aggregate(x: Aggregation, a: Column, order: Column | None, place: Column | N
         else:
             made = -F.max(F.when(a.isNotNull(), F.struct(a.alias("v"), (-order).alias("o"))))["o"]
     elif op == "NTH_ELEMENT":
-        if x.n in (0, -1):
-            made = (F.min_by if x.n == 0 else F.max_by)(a, order)
-        else:
-            made = F.max(F.when(place == F.lit(x.n if x.n >= 0 else -x.n - 1), a))
+        made = (F.min_by if x.n == 0 else F.max_by)(a, order)
     else:
         raise PlanError(f"unknown aggregation {op!r}")
     return cast(made, x.type)

@@ -8,6 +8,7 @@ with a limit keeps only the top rows, and joins are chosen at run time.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ HOW = {"INNER": "inner", "LEFT": "left", "FULL": "full", "LEFT_SEMI": "left_semi
 ARRIVAL = "__arrival"
 
 
+def inner_place(x: X.Aggregation) -> bool:
+    """Whether this is NTH_ELEMENT of another place than the first or the last."""
+    return x.op == "NTH_ELEMENT" and x.n not in (0, -1)
+
+
+def place_of(x: X.Aggregation) -> int:
+    """The place from 0 on, from the end for a negative n."""
+    return x.n if x.n >= 0 else -x.n - 1
+
+
 class Compiler:
     def __init__(self, source: Callable[[R.InputSource], DataFrame], generic: scalar.Generic | None = None, buckets: int | None = None):
         """``source`` gives the DataFrame of a source; ``buckets``: partitions to deal grouped aggregations to."""
@@ -56,8 +67,7 @@ class Compiler:
         # new names before the join, so that even two scans of one source can't be mistaken
         left = self.compile(rel.left).select(*(F.col(c).alias(c) for c in names[:n]))
         right = self.compile(rel.right).toDF(*names[n:])
-        if rel.build_side == "LEFT":  # an inner join may name the side that is hashed; by default AQE chooses
-            left = left.hint("shuffle_hash")
+        # build_side is checked but has no effect: a hint would hash a side of any size, AQE looks at the sizes
         condition = None
         for x in conjuncts(rel.condition):
             # a key that may be null equals null; keys without nulls need no such test
@@ -80,25 +90,28 @@ class Compiler:
             df = df.withColumn(ARRIVAL, F.monotonically_increasing_id())
         keys = [f"g{i}" for i in range(len(groups))]
         order = {o: F.struct(*(F.col(f"c{i}") for i in o)) if len(o) > 1 else F.col(f"c{o[0]}") if o else F.col(ARRIVAL) for o in orders}
-        places: dict[tuple, str] = {}
-        for x in ordered:
-            if x.op == "NTH_ELEMENT" and x.n not in (0, -1) and (x.order_by, x.n < 0) not in places:
-                # a sort that can spill, not a list of the whole group
-                by = order[x.order_by].desc() if x.n < 0 else order[x.order_by].asc()
-                places[x.order_by, x.n < 0] = name = f"p{len(places)}"
-                df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(by)) - 1)
         for x in ordered:
             check(x.op == "NTH_ELEMENT" or len(x.order_by) <= 1, f"{x.op} gives the value of one order column")
-        made = []
-        for i, x in enumerate(rel.aggregations):
-            place = places.get((x.order_by, (x.n or 0) < 0)) if x.op == "NTH_ELEMENT" else None
-            made.append(aggregate(x, self.column(x.operand, names), order.get(x.order_by) if x.op in ORDERED else None, F.col(place) if place else None).alias(f"a{i}"))
-        if not keys:
-            return df.agg(*made).toDF(*named(rel.schema))
-        if self.buckets:
+        made = {i: (x, aggregate(x, self.column(x.operand, names), order.get(x.order_by) if x.op in ORDERED else None).alias(f"a{i}")) for i, x in enumerate(rel.aggregations) if not inner_place(x)}
+        if self.buckets and keys:
             df = df.repartition(self.buckets, *keys)  # the grouping reuses this exchange
-        grouped = df.groupBy(*keys).agg(*made)
-        return grouped.select(*(cast(F.col(k), x.type) for k, x in zip(keys, rel.groups, strict=True)), *(f"a{i}" for i in range(len(made)))).toDF(*named(rel.schema))
+        parts = []
+        if made or not ordered:
+            parts.append(df.groupBy(*keys).agg(*(c for _, c in made.values())))
+        # an inner place takes the first rows of each group only: tasks pass on no more than that many before the shuffle
+        for by in dict.fromkeys((x.order_by, x.n < 0) for x in rel.aggregations if inner_place(x)):
+            wanted = {i: x for i, x in enumerate(rel.aggregations) if inner_place(x) and (x.order_by, x.n < 0) == by}
+            most = max(place_of(x) for x in wanted.values()) + 1
+            towards = order[by[0]].desc() if by[1] else order[by[0]].asc()
+            first = df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(towards))).where(F.col("nth") <= most)
+            parts.append(first.groupBy(*keys).agg(*(cast(F.max(F.when(F.col("nth") == place_of(x) + 1, self.column(x.operand, names))), x.type).alias(f"a{i}") for i, x in wanted.items())))
+        grouped = parts[0]
+        for p, part in enumerate(parts[1:]):  # one row a group on either side
+            others = part.select(*(F.col(k).alias(f"{k}_{p}") for k in keys), *(c for c in part.columns if c not in keys))
+            same = [F.col(k).eqNullSafe(F.col(f"{k}_{p}")) for k in keys] or [F.lit(True)]
+            grouped = grouped.join(others, reduce(lambda a, b: a & b, same))
+        values = [f"a{i}" for i in range(len(rel.aggregations))]
+        return grouped.select(*(cast(F.col(k), x.type) for k, x in zip(keys, rel.groups, strict=True)), *values).toDF(*named(rel.schema))
 
     def sort(self, rel: R.Sort) -> DataFrame:
         names, keys = named(rel.input.schema), []

@@ -152,7 +152,8 @@ class Library:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of whole texts (null: none) one after another, unsigned 32-bit, and each text's end, for some texts after others."""
-        for some in blocks(pc.fill_null(texts, "").cast(pa.large_string())):
+        for some in blocks(texts):
+            some = pc.fill_null(some, "").cast(pa.large_string())
             unsafe = pc.match_substring_regex(some, f"{_ODD}|{_UNEVEN}" if self.spaced else BARE)
             apart = unsafe.to_numpy(zero_copy_only=False)
             if apart.any():

@@ -139,12 +139,12 @@ def seek_table(source, size: int) -> list[tuple[int, int, int]]:
 
 
 def with_roles(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, html, digest, size, refers_to: by digest, in one join that skewed digests may be split in."""
+    """page_id, url, html, digest, size, refers_to: by SHA-256 and size of the payload, in one join that skewed payloads may be split in."""
     html = text_or_empty("html")
-    rows = only(pages, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    shared = rows.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("of_digest")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
+    rows = only(pages, page_id="page_id", url="url", html="html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.sha2(F.encode(html, "utf-8"), 256).alias("payload"), F.octet_length(html).cast("long").alias("size"))
+    shared = rows.where(F.col("size") >= least_bytes).groupBy(F.col("payload").alias("of_payload"), F.col("size").alias("of_size")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
     revisits = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    joined = rows.join(shared, (F.col("digest") == F.col("of_digest")) & (F.col("size") >= least_bytes), "left")
+    joined = rows.join(shared, (F.col("payload") == F.col("of_payload")) & (F.col("size") == F.col("of_size")), "left")
     return joined.select("page_id", "url", F.when(~revisits, F.col("html")).alias("html"), "digest", "size", F.when(revisits, F.col("keeper")).alias("refers_to"))
 
 
@@ -220,9 +220,11 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads:
     return named.mapInArrow(tidy(frames), "file string, start long, bytes long").repartition(parallelism(spark)).mapInArrow(tidy(records), RECORD_SCHEMA)
 
 
-def read_records(spark: SparkSession, folder: str, index: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Only the records of ``identifiers`` (column ``page_id``), each from its frame by the index."""
-    wanted = identifiers.select(F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("None")), F.lit(">")).alias("record_id")).distinct()
+def read_indexed(folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
+    """The record of each row of ``index``, from its place in its frame; a frame is read once, by one task.
+
+    Raises where another record than the indexed one lies there.
+    """
 
     def run(batches):
         import zstandard
@@ -232,18 +234,31 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame, identifiers
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         last, data = None, b""
         for batch in batches:
-            for r in batch.to_pylist():
-                if last != (r["file"], r["frame_start"]):
-                    with fs.open_input_file(posixpath.join(root, r["file"])) as source:
-                        source.seek(r["frame_start"])
-                        last, data = (r["file"], r["frame_start"]), plain.decompress(source.read(r["frame_bytes"]))
-                yield pa.RecordBatch.from_pylist(list(from_frame(data[r["offset"] : r["offset"] + r["length"]])), schema=kinds)
+            for at in range(0, batch.num_rows, 200):
+                rows = []
+                for r in batch.slice(at, 200).to_pylist():
+                    if last != (r["file"], r["frame_start"]):
+                        with fs.open_input_file(posixpath.join(root, r["file"])) as source:
+                            source.seek(r["frame_start"])
+                            last, data = (r["file"], r["frame_start"]), plain.decompress(source.read(r["frame_bytes"]))
+                    found = list(from_frame(data[r["offset"] : r["offset"] + r["length"]]))
+                    if [record_id(x["page_id"]) for x in found] != [r["record_id"]]:
+                        raise ValueError(f"{r['file']} doesn't hold {r['record_id']} where the index says")
+                    rows += found if payloads else [found[0] | {"payload": None}]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return index.join(wanted, "record_id").select("file", "frame_start", "frame_bytes", "offset", "length").sortWithinPartitions("file", "frame_start").mapInArrow(tidy(run), RECORD_SCHEMA)
+    places = index.select("file", "frame_start", "frame_bytes", "offset", "length", "record_id").repartition("file", "frame_start")
+    return places.sortWithinPartitions("file", "frame_start", "offset").mapInArrow(tidy(run), RECORD_SCHEMA)
+
+
+def read_records(spark: SparkSession, folder: str, index: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Only the records of ``identifiers`` (column ``page_id``), each from its frame by the index."""
+    wanted = identifiers.select(F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("None")), F.lit(">")).alias("record_id")).distinct()
+    return read_indexed(folder, index.join(wanted, "record_id"))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000) -> DataFrame:
-    """Write ``pages`` to archives and read every record back, without the payloads themselves."""
+    """Write ``pages`` to archives and read every record back from where the index has it, without the payloads themselves."""
     folder = folder or new_dir(pages.sparkSession, "warc")
     index = write_archives(pages, folder, least_bytes)
-    return read_archives(pages.sparkSession, folder, index, payloads=False).drop("payload")
+    return read_indexed(folder, index, payloads=False).drop("payload")

@@ -157,3 +157,26 @@ def test_blocks_give_the_library_ids(tokenizers_dir, make, name, spaced, monkeyp
             first, at = end, at + 1
     assert at == len(texts)
     assert list(library.encode(pa.array([], pa.string()))) == []
+
+
+def test_orc_metadata_prunes(spark, tokenizers_dir, tmp_path):
+    """Integers are run-length encoded, row indexes and Bloom filters are there, and a look-up by id reads a row group or none."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("number "), F.sha1(F.col("id").cast("string")), F.lit(" "), F.sha1((F.col("id") + 1).cast("string"))).alias("text"))
+    folder = f"file://{tmp_path}/t"
+    token_orc.write_tokens(docs, folder, tokenizers_dir("byte_bpe_50k.json"), 2, partitions=1, stripe_bytes=1 << 20)
+    (name,) = glob.glob(f"{tmp_path}/t/*.orc")
+    jvm = spark._jvm
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getStripes().size() >= 2
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    streams = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+    assert (1, "BLOOM_FILTER_UTF8") in streams and all((c, "ROW_INDEX") in streams for c in range(1, 7))
+    assert [c.getKind().toString() for c in footer.getColumnsList()][1:] == ["DIRECT_V2"] * 6
+    for doc_id, most in ((3 * 4567, 1000), (3 * 4567 + 1, 0)):
+        plan = token_orc.read_tokens(spark, folder).where(F.col("doc_id") == doc_id)._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        assert plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value() <= most

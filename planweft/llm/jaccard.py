@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweft.llm import graph
-from planweft.llm.shared import cut, only, parallelism, place_of, positional, text_or_empty, tidy
+from planweft.llm.shared import cut, few_files, only, parallelism, place_of, positional, text_or_empty, tidy
 from planweft.llm.shingles import mix, sets_of
 
 FLUSH = 1 << 20
@@ -488,7 +488,7 @@ def stars_of(edges: DataFrame) -> DataFrame:
 
 def families(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``signature, rep, first_doc, copies, component`` of each set that may have a partner; the sets; the followers."""
-    alive = cut(maybe_linked(docs, k, percent))
+    alive = cut(few_files(maybe_linked(docs, k, percent)))
     if alive.count() <= SMALL_IDS:  # then no text needs to be shuffled
         alive = F.broadcast(alive)
     # equal sets are one, whatever their number; a set's own number is a hash of its name

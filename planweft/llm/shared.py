@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as its bytes need, to be written: each file of a checkpoint costs processes of its own on a local file system."""
+    return df.hint("rebalance")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -175,3 +175,19 @@ def test_shared_keys_are_combined():
     bucket, key, doc, n = jaccard.combined(key.astype(np.int32) % 4, key, doc, n, 4)
     assert sorted(doc[n < 0].tolist()) == [1, 3, 5] and sorted(doc[n > 0].tolist()) == [2, 4]
     assert key[n == 0].tolist() == [5] and len(bucket) == len(key) == 6
+
+
+def test_ids_that_pass_the_filter_fill_few_files(spark, monkeypatch, make):
+    """Not a file of the checkpoint for each bucket they were dealt to, and the same rows."""
+    rows = [(i, make(i // 2, 60)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: written.append(out := cut(df)) or out)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        classes = jaccard.families(docs, 4, 85)[0]
+        assert written[0].columns == ["doc_id"] and written[0].rdd.getNumPartitions() < 4
+        assert sorted(r.doc_id for r in written[0].collect()) == sorted(r.doc_id for r in jaccard.maybe_linked(docs, 4, 85).collect()) == list(range(60))
+        assert sorted(r.first_doc for r in classes.collect()) == list(range(0, 60, 2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

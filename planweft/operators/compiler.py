@@ -18,11 +18,15 @@ from planweft.functions import scalar
 from planweft.functions.aggregates import ORDERED, aggregate
 from planweft.plans import expressions as X
 from planweft.plans import rels as R
-from planweft.plans.validate import conjuncts
+from planweft.plans.validate import conjuncts, join_keys
 from planweft.types import cast, named
 
 HOW = {"INNER": "inner", "LEFT": "left", "FULL": "full", "LEFT_SEMI": "left_semi", "LEFT_ANTI": "left_anti", "RIGHT": "right", "CROSS": "inner"}
 ARRIVAL = "__arrival"
+#: Aggregations over a join's rows that follow from those of its sides' groups, and the joins that they are told for.
+#: No sums: one over rows without a partner could overflow, where the joined rows have none.
+BY_SIDES = ("COUNT_ALL", "COUNT_VALID", "MIN", "MAX")
+MEETING = ("INNER",)
 
 
 def inner_place(x: X.Aggregation) -> bool:
@@ -35,6 +39,16 @@ def place_of(x: X.Aggregation) -> int:
     return x.n if x.n >= 0 else -x.n - 1
 
 
+def join_below(rel: R.Aggregate) -> tuple[R.HashJoin, list[int]] | None:
+    """The join whose sides can be grouped before it for this aggregate, and the join's column for each input column; none if the joined rows are needed."""
+    join, places = rel.input, list(range(len(rel.input.schema)))
+    while isinstance(join, R.Project) and all(isinstance(x, X.ColumnRef) for x in join.expressions):
+        places = [join.expressions[i].index for i in places]
+        join = join.input
+    plain = all(isinstance(x, X.ColumnRef) for x in (*rel.groups, *(x.operand for x in rel.aggregations))) and all(x.op in BY_SIDES for x in rel.aggregations)
+    return (join, places) if plain and isinstance(join, R.HashJoin) and join.type in MEETING and join_keys(join) else None
+
+
 class Compiler:
     def __init__(self, source: Callable[[R.InputSource], DataFrame], generic: scalar.Generic | None = None, buckets: int | None = None):
         """``source`` gives the DataFrame of a source; ``buckets``: partitions to deal grouped aggregations to."""
@@ -62,13 +76,13 @@ class Compiler:
             first = first.union(x)  # by position
         return first.distinct() if rel.distinct else first
 
-    def hashjoin(self, rel: R.HashJoin) -> DataFrame:
+    def sides(self, rel: R.HashJoin) -> tuple[DataFrame, DataFrame]:
+        """Both inputs with new names before the join, so that even two scans of one source can't be mistaken."""
         n, names = len(rel.left.schema), named(rel.both)
-        # new names before the join, so that even two scans of one source can't be mistaken
-        left = self.compile(rel.left).select(*(F.col(c).alias(c) for c in names[:n]))
-        right = self.compile(rel.right).toDF(*names[n:])
-        # build_side is checked but has no effect: a hint would hash a side of any size, AQE looks at the sizes
-        condition = None
+        return self.compile(rel.left).select(*(F.col(c).alias(c) for c in names[:n])), self.compile(rel.right).toDF(*names[n:])
+
+    def condition(self, rel: R.HashJoin) -> Column:
+        condition, names = None, named(rel.both)
         for x in conjuncts(rel.condition):
             # a key that may be null equals null; keys without nulls need no such test
             equal = isinstance(x, X.BinaryOp) and x.op == "EQUAL"
@@ -77,9 +91,45 @@ class Compiler:
             else:
                 one = self.column(x, names)
             condition = one if condition is None else condition & one
-        return left.join(right, condition, HOW[rel.type])
+        return condition
+
+    def hashjoin(self, rel: R.HashJoin) -> DataFrame:
+        # build_side is checked but has no effect: a hint would hash a side of any size, AQE looks at the sizes
+        left, right = self.sides(rel)
+        return left.join(right, self.condition(rel), HOW[rel.type])
+
+    def over_join(self, rel: R.Aggregate, join: R.HashJoin, places: list[int]) -> DataFrame:
+        """An aggregate over a join, whose sides are grouped before it: rows of one key meet as one, so many to many makes no pairs."""
+        names, border = named(join.both), len(join.left.schema)
+        groups = [places[x.index] for x in rel.groups]
+        of = [places[x.operand.index] for x in rel.aggregations]
+        kept = sorted({*groups, *(c.index for pair in join_keys(join) for c in pair)})
+        met = []
+        for side, df in enumerate(self.sides(join)):
+            parts = [F.count(F.lit(1)).alias(f"rows{side}")]
+            for i, x in enumerate(rel.aggregations):
+                if x.op != "COUNT_ALL" and (of[i] >= border) == side:
+                    parts.append({"COUNT_VALID": F.count, "MIN": F.min, "MAX": F.max}[x.op](names[of[i]]).alias(f"a{i}"))
+            met.append(df.groupBy(*(names[k] for k in kept if (k >= border) == side)).agg(*parts))
+        df = met[0].join(met[1], self.condition(join), HOW[join.type]).select("*", *(F.col(names[k]).alias(f"g{i}") for i, k in enumerate(groups)))
+        keys = [f"g{i}" for i in range(len(groups))]
+        if self.buckets and keys:
+            df = df.repartition(self.buckets, *keys)
+        rows = [F.coalesce(f"rows{side}", F.lit(1)) for side in (0, 1)]  # a row without a partner is one row
+        values = []
+        for i, x in enumerate(rel.aggregations):
+            if x.op in ("MIN", "MAX"):
+                made = (F.min if x.op == "MIN" else F.max)(f"a{i}")
+            else:
+                times = rows[0] * rows[1] if x.op == "COUNT_ALL" else F.coalesce(f"a{i}", F.lit(0)) * rows[of[i] < border]
+                made = F.coalesce(F.sum(times), F.lit(0))
+            values.append(cast(made, x.type).alias(f"a{i}"))
+        grouped = df.groupBy(*keys).agg(*values)
+        return grouped.select(*(cast(F.col(k), x.type) for k, x in zip(keys, rel.groups, strict=True)), *(f"a{i}" for i in range(len(values)))).toDF(*named(rel.schema))
 
     def aggregate(self, rel: R.Aggregate) -> DataFrame:
+        if below := join_below(rel):
+            return self.over_join(rel, *below)
         names, df = named(rel.input.schema), self.compile(rel.input)
         groups = [self.column(x, names).alias(f"g{i}") for i, x in enumerate(rel.groups)]
         ordered = [x for x in rel.aggregations if x.op in ORDERED]

@@ -105,6 +105,48 @@ def test_null_keys_are_equal(engine):
     assert len(run(engine, B.join("INNER", u, v, (1, 1)))) == 12
 
 
+JOINED = [("COUNT_ALL", 0, "INT64"), ("COUNT_VALID", 1, "INT64"), ("COUNT_VALID", 3, "INT64"), ("MIN", 1, "INT32?"), ("MAX", 3, "INT32?"), ("COUNT_VALID", 2, "INT64")]
+
+
+@pytest.mark.parametrize("kind", ["INNER", "LEFT", "FULL", "RIGHT"])
+@pytest.mark.parametrize("groups, buckets", [((0, 2), None), ((1,), 3), ((), None), ((3, 0, 3), None)])
+@pytest.mark.parametrize("empty", [None, 0, 1])
+def test_aggregates_over_joins(spark, kind, groups, buckets, empty):
+    """Sides are grouped before they meet, with the results of the joined rows. Columns come through a projection in another order."""
+    engine = Engine(spark, strict=False)
+    tables = [[(None, 1), (None, None), (1, 5), (1, 5), (1, None), (2, 7), (4, 8)], [(None, 3), (None, None), (1, None), (1, 2), (3, 9), (3, 9), (4, None)]]
+    if empty is not None:
+        tables[empty] = []
+    a, b = (give(engine, i, ["INT32?", "INT32?"], rows) for i, rows in enumerate(tables))
+    met = [x + y for x in tables[0] for y in tables[1] if x[0] == y[0]]
+    if kind in ("LEFT", "FULL"):
+        met += [(*x, None, None) for x in tables[0] if x[0] not in [y[0] for y in tables[1]]]
+    if kind in ("RIGHT", "FULL"):
+        met += [(None, None, *y) for y in tables[1] if y[0] not in [x[0] for x in tables[0]]]
+    if buckets:
+        engine.set_bucket_aggregate(True)
+        engine.set_bucket_aggregate_buckets(buckets)
+    turned = B.keep(B.keep(B.join(kind, a, b, (0, 0)), 3, 2, 1, 0), 3, 2, 1, 0)
+    df = engine.compile(B.aggregate(turned, groups, *(B.agg(op, B.col(turned, i), of) for op, i, of in JOINED)))
+    classes = {tuple(r[i] for i in groups): [] for r in met} if groups else {(): []}
+    for r in met:
+        classes[tuple(r[i] for i in groups)].append(r)
+    how = {"COUNT_ALL": lambda v, rows: len(rows), "COUNT_VALID": lambda v, rows: len(v), "MIN": lambda v, rows: min(v, default=None), "MAX": lambda v, rows: max(v, default=None)}
+    wanted = [(*k, *(how[op]([r[i] for r in rows if r[i] is not None], rows) for op, i, _ in JOINED)) for k, rows in classes.items()]
+    assert bag(map(tuple, df.collect())) == bag(wanted)
+
+
+@pytest.mark.parametrize("kind", ["INNER"])
+def test_counting_many_to_many_makes_no_pairs(engine, kind):
+    """Each key's rows meet as one row: 90,000 pairs of nulls otherwise."""
+    a, b = (give(engine, i, ["INT32?"], [None] * 300) for i in (1, 2))
+    j = B.join(kind, a, b, (0, 0))
+    df = engine.compile(codec.write_plan(B.aggregate(j, (0, 1), B.agg("COUNT_ALL", B.col(j, 0), "INT64"))))
+    assert [tuple(r) for r in df.collect()] == [(None, None, 90_000)]
+    _, below = df._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)
+    assert below.count("Aggregate [") == 2
+
+
 def test_left_join_pads_with_nulls(engine):
     j = B.join("LEFT", ints(engine, 1, [22, 32, 42, 52]), ints(engine, 2, [41, 42, 43]), (0, 0))
     assert bag(run(engine, j)) == bag([(22, None), (32, None), (42, 42), (52, None)])

@@ -26,7 +26,7 @@ ARRIVAL = "__arrival"
 #: Aggregations over a join's rows that follow from those of its sides' groups, and the joins that they are told for.
 #: No sums: one over rows without a partner could overflow, where the joined rows have none.
 BY_SIDES = ("COUNT_ALL", "COUNT_VALID", "MIN", "MAX")
-MEETING = ("INNER", "LEFT", "RIGHT")
+MEETING = ("INNER", "LEFT", "FULL", "RIGHT")
 
 
 def inner_place(x: X.Aggregation) -> bool:

@@ -136,7 +136,7 @@ def test_aggregates_over_joins(spark, kind, groups, buckets, empty):
     assert bag(map(tuple, df.collect())) == bag(wanted)
 
 
-@pytest.mark.parametrize("kind", ["INNER", "LEFT"])
+@pytest.mark.parametrize("kind", ["INNER", "LEFT", "FULL"])
 def test_counting_many_to_many_makes_no_pairs(engine, kind):
     """Each key's rows meet as one row: 90,000 pairs of nulls otherwise."""
     a, b = (give(engine, i, ["INT32?"], [None] * 300) for i in (1, 2))

@@ -92,6 +92,11 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, signature string")
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """``np.argsort(key, kind="stable")`` of 32-bit keys from 0 on, by one sort of keys and places together."""
+    return (np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 class Dealer:
     """Collects (bucket, columns...) in memory up to a bound, combines them and deals them out in one packed row per bucket."""
 
@@ -109,7 +114,7 @@ class Dealer:
             return
         bucket, *columns = self.combine(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
         self.held, self.rows = [], 0
-        order = np.argsort(bucket, kind="stable")
+        order = stable_order(bucket)
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         full = np.flatnonzero(np.diff(ends))
         blobs = [pa.array([c[order[ends[b] : ends[b + 1]]].tobytes() for b in full], pa.binary()) for c in columns]
@@ -129,7 +134,7 @@ def buckets_for(spark, size: int | None, each: int) -> int:
 
 def combined(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, n: np.ndarray, buckets: int):
     """Postings of one key that meet here know already that it is shared: they go home by any bucket (a negative n), and one mark (doc and n 0) stands for them."""
-    order = np.argsort(key, kind="stable")
+    order = stable_order(key)
     bucket, key, doc, n = bucket[order], key[order], doc[order], n[order]
     same = key[1:] == key[:-1]
     again = np.zeros(len(key), bool)
@@ -165,7 +170,7 @@ def maybe_linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         known = n < 0
         homeward = [(doc[known], -n[known])]
         key, doc, n = key[~known], doc[~known], n[~known]
-        order = np.argsort(key, kind="stable")
+        order = stable_order(key)
         key, doc, n = key[order], doc[order], n[order]
         same = key[1:] == key[:-1]
         again = np.zeros(len(key), bool)

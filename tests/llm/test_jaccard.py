@@ -56,6 +56,27 @@ def test_shingle_sets():
         shingles.BLOCK = old
 
 
+def test_hashing_sorts_once(monkeypatch):
+    """Sets and orders are those of np.unique and a stable argsort, without either, and blocks share their powers."""
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        x, key = r.integers(0, 700, n, dtype=np.uint64) << np.uint64(54), r.integers(0, 50, n).astype(np.uint32) * np.uint32(85_000_000)
+        assert shingles.distinct(x).tolist() == sorted(set(x.tolist()))
+        assert jaccard.stable_order(key).tolist() == sorted(range(n), key=lambda i: key[i])
+        assert jaccard.stable_order((key >> 1).astype(np.int32)).tolist() == sorted(range(n), key=lambda i: key[i])
+    assert shingles.powers_of(shingles.BASE, 9) is not None and np.shares_memory(shingles.powers_of(shingles.BASE, 9), shingles.powers_of(shingles.BASE, 5000))
+    long = shingles.powers_of(shingles.BASE, shingles.KEPT + 3)
+    assert (long[: shingles.KEPT] == shingles.powers_of(shingles.BASE, shingles.KEPT)).all() and int(long[-1]) == pow(int(shingles.BASE), shingles.KEPT + 2, 2**64)
+    monkeypatch.setattr(np, "unique", None)
+    monkeypatch.setattr(np, "argsort", None)
+    words = "a b c d e f a b c d"
+    assert [len(x) for x in shingles.sets_of(pa.array([words, "", None, f"{words} " * 40_000]), 4)] == [len(grams(words, 4)), 0, 0, len(grams(f"{words} " * 3, 4))]
+    dealer = jaccard.Dealer(3, ["doc"])
+    assert not list(dealer.add(np.array([2, 0, 2, 0], np.int32), np.array([5, 6, 7, 8])))
+    (made,) = dealer.flush()
+    assert [np.frombuffer(x, np.int64).tolist() for x in made.column(1).to_pylist()] == [[6, 8], [5, 7]]
+
+
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
 def test_components(spark, k, percent):
     r = random.Random(k)
